@@ -63,8 +63,9 @@ def chain(entries: DataFrame, body: str = "body", chunk: int = CHAIN_CHUNK,
         F.min("seq").alias("_from"),
         F.array_sort(F.collect_list(F.struct("seq", F.col(body).alias("body"))))
         .alias("_entries"))
-    link = F.struct(F.lit(0).cast("bigint").alias("seq"), start.alias("prev_hash"),
-                    start.alias("hash"))
+    grouped = grouped.withColumn("_start", start)
+    link = F.struct(F.lit(0).cast("bigint").alias("seq"), F.col("_start").alias("prev_hash"),
+                    F.col("_start").alias("hash"))
 
     def extend(done: Column, entry: Column) -> Column:
         prev = F.element_at(done, -1)["hash"]

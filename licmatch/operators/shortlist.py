@@ -34,8 +34,9 @@ def _containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> Dat
     only true matches come out and nothing is compared pairwise.
     """
     lengths = parts.select(F.collect_set(F.length(part))).scalar()
-    expanded = texts.withColumn(part, F.explode(substrings(F.col(text), lengths)))
-    return expanded.join(parts, part)
+    expanded = texts.withColumn("_lengths", lengths) \
+        .withColumn(part, F.explode(substrings(F.col(text), F.col("_lengths"))))
+    return expanded.drop("_lengths").join(parts, part)
 
 
 def attach_rulings(rows: DataFrame, rulings: DataFrame) -> DataFrame:
