@@ -26,15 +26,23 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
+_PLAIN = r"^\d{4}-\d{2}-\d{2}$"
+
+
 def parse_day(value: Column | str) -> Column:
-    """Calendar day of a stored date or timestamp text, null when it is neither."""
+    """Calendar day of a stored date or timestamp text, null when it is neither.
+
+    A plain ISO date, the common case, is read by a cast; only other texts are taken apart.
+    """
     text = F.substring(strip(value), 1, 19)
     clock_ok = (_part(text, _ISO, 4) == "") | (
-        (_number(_part(text, _ISO, 4)) < 24) & (_number(_part(text, _ISO, 5)) < 60) & (_number(_part(text, _ISO, 6)) < 62))
+        (_number(_part(text, _ISO, 4)) < 24) & (_number(_part(text, _ISO, 5)) < 60)
+        & (_number(_part(text, _ISO, 6)) < 62))
     iso = F.when(text.rlike(_ISO) & clock_ok,
                  _date(*[_part(text, _ISO, g) for g in (1, 2, 3)]))
     dmy = F.when(text.rlike(_DMY), _date(*[_part(text, _DMY, g) for g in (3, 2, 1)]))
-    return F.coalesce(iso, dmy)
+    return F.when(col(value).rlike(_PLAIN), col(value).try_cast("date")) \
+        .otherwise(F.coalesce(iso, dmy))
 
 
 def _number(text: Column) -> Column:
@@ -45,7 +53,8 @@ def parse_seconds(value: Column | str) -> Column:
     """Seconds after midnight of a stored timestamp text, 0 when it has no clock part."""
     text = F.substring(strip(value), 1, 19)
     parts = [F.coalesce(_number(_part(text, _ISO, g)), F.lit(0)) for g in (4, 5, 6)]
-    return parts[0] * 3600 + parts[1] * 60 + parts[2]
+    return F.when(F.length(col(value)) <= 10, 0) \
+        .otherwise(parts[0] * 3600 + parts[1] * 60 + parts[2])
 
 
 def days_since(value: Column | str, as_of) -> Column:
@@ -62,7 +71,7 @@ def age_days(as_of, posted="posted_date", seen="date_first_seen") -> Column:
 def iso_date(value: Column | str) -> Column:
     """Date of a strict ISO text (yyyy-MM-dd or yyyyMMdd), null otherwise."""
     text = strip(value)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")) \
+    return F.when(text.rlike(_PLAIN), text.try_cast("date")) \
         .when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 

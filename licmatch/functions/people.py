@@ -154,9 +154,8 @@ def role_question(title: Column | str) -> Column:
 
 def opening_key(signals: Column | str) -> Column:
     """The first key of the priority list present in the signal array, else ''."""
-    order = _strings(rules.HOOK_PRIORITY)
-    return F.coalesce(F.try_element_at(
-        F.filter(order, lambda k: F.array_contains(col(signals), k)), F.lit(1)), F.lit(""))
+    present = F.array_intersect(_strings(rules.HOOK_PRIORITY), col(signals))
+    return F.coalesce(F.try_element_at(present, F.lit(1)), F.lit(""))
 
 
 def first_fit(*candidates: Column, limit: int = rules.NOTE_LIMIT) -> Column:

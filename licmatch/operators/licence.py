@@ -60,7 +60,9 @@ def effective_lookup(lookup: DataFrame, aliases: DataFrame | None = None) -> Dat
                            F.col("rating").alias("register_rating"))
     confirmed = overlay.join(register, "register_key", "left") \
         .select("key", F.coalesce("register_rating", blank("alias_rating")).alias("rating"))
-    return base.join(confirmed, "key", "left_anti").unionByName(confirmed)
+    over = confirmed.select("key", F.col("rating").alias("over"))
+    return base.join(over, "key", "full_outer") \
+        .select("key", F.coalesce("over", "rating").alias("rating"))
 
 
 def match_companies(rows: DataFrame, lookup: DataFrame | None,

@@ -22,45 +22,45 @@ def normal_rulings(rulings: DataFrame) -> DataFrame:
     title = F.when(is_role & (mark > 0), F.substr("ruling_key", mark + 2)).otherwise("")
     keyed = rulings.select(
         normalise(company).alias("company_part"), normalise(title).alias("title_part"),
-        F.when(is_role, 0).otherwise(1).alias("rank"), "ord", "verdict", "reason",
-        "verified")
-    return first_per_key(keyed, ["company_part", "title_part", "rank"], ["ord"])
+        F.when(is_role, 0).otherwise(1).alias("rank"), F.col("ord").alias("ruling_ord"),
+        "verdict", "reason", "verified")
+    return first_per_key(keyed, ["company_part", "title_part", "rank"], ["ruling_ord"])
 
 
-def _containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
-    """(text, part) pairs where the text contains the part, as an equi join.
+def _matching_parts(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Add ``part``: one row per part the text contains, found by an equi join.
 
     Every text is expanded into its substrings of the lengths that occur among the parts, so
     only true matches come out and nothing is compared pairwise.
     """
     lengths = parts.select(F.collect_set(F.length(part))).scalar()
-    expanded = texts.withColumn("_lengths", lengths) \
-        .withColumn(part, F.explode(substrings(F.col(text), F.col("_lengths"))))
-    return expanded.drop("_lengths").join(parts, part)
+    return texts.withColumn("_lengths", lengths) \
+        .withColumn(part, F.explode(substrings(F.col(text), F.col("_lengths")))) \
+        .drop("_lengths")
 
 
 def attach_rulings(rows: DataFrame, rulings: DataFrame) -> DataFrame:
     """Most specific prior ruling per row: role before company, file order, first wins.
 
-    A ruling matches by containment. Work is done per distinct company and title, not per
-    row. An empty half of a ruling key matches everything.
+    A ruling matches by containment; an empty half of a ruling key matches everything.
+    Companies are expanded once per distinct name, titles only where the company matched.
     """
     known = normal_rulings(rulings)
-    keyed = rows.withColumn("_company", normalise("company")) \
-        .withColumn("_title", normalise("title"))
-    subjects = keyed.select("_company", "_title").distinct()
-    companies = _containing(subjects.select("_company").distinct(), "_company",
-                            known.select("company_part").distinct(), "company_part")
-    title_parts = known.select("title_part").distinct()
-    titles = _containing(subjects.select("_title").distinct(), "_title",
-                         title_parts, "title_part")
-    found = subjects.join(companies, "_company").join(titles, "_title") \
+    subjects = rows.select("ord", normalise("company").alias("_company"),
+                           normalise("title").alias("_title"))
+    companies = _matching_parts(subjects.select("_company").distinct(), "_company",
+                                known, "company_part") \
+        .join(known.select("company_part"), "company_part", "left_semi")
+    found = _matching_parts(subjects.join(companies, "_company"), "_title",
+                            known, "title_part") \
         .join(known, ["company_part", "title_part"])
-    first = first_per_key(found, ["_company", "_title"], ["rank", "ord"]).select(
-        "_company", "_title", F.col("verdict").alias("ruling_verdict"),
+    first = first_per_key(
+        found.select("ord", "rank", "ruling_ord", "verdict", "reason", "verified"),
+        ["ord"], ["rank", "ruling_ord"])
+    return rows.join(first.select(
+        "ord", F.col("verdict").alias("ruling_verdict"),
         F.col("reason").alias("ruling_reason"),
-        F.col("verified").alias("ruling_verified"))
-    return keyed.join(first, ["_company", "_title"], "left") \
+        F.col("verified").alias("ruling_verified")), "ord", "left") \
         .select(*rows.columns, "ruling_verdict", "ruling_reason", "ruling_verified")
 
 
