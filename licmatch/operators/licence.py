@@ -200,13 +200,13 @@ def suggestion_prefixes(lookup: DataFrame) -> DataFrame:
     trading = F.filter(F.array_distinct(trading),
                        lambda p: (token != "") & (F.substring_index(p, " ", 1) == token))
 
-    def expand(prefixes: Column, rule: int) -> DataFrame:
+    def tagged(prefixes: Column, rule: int) -> Column:
         long_enough = F.filter(prefixes,
                                lambda p: F.length(p) >= rules.MIN_SUGGESTION_KEY)
-        return lookup.select(F.explode(long_enough).alias("prefix"),
-                             F.lit(rule).alias("rule"), F.col("key").alias("candidate"),
-                             "rating", "ord")
-    return expand(own, 0).unionByName(expand(trading, 1))
+        return F.transform(long_enough, lambda p: F.struct(p.alias("prefix"),
+                                                           F.lit(rule).alias("rule")))
+    return lookup.select(F.inline(F.concat(tagged(own, 0), tagged(trading, 1))),
+                         F.col("key").alias("candidate"), "rating", "ord")
 
 
 def open_keys(companies: DataFrame, lookup: DataFrame, company="company") -> DataFrame:

@@ -38,17 +38,21 @@ def tech_titles(rows: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def review_candidates(rows: DataFrame, lookup: DataFrame,
-                      aliases: DataFrame | None = None) -> DataFrame:
+                      aliases: DataFrame | None = None,
+                      rejections: DataFrame | None = None) -> DataFrame:
     """Unmatched, undecided, direct employers with at least one suggestion.
 
-    ``suggestions`` holds at most three (candidate, rating, why); the four rank columns
-    order the queue by what a decision is worth.
+    ``suggestions`` holds at most three (register_name, rating, why); of the top three,
+    those already rejected for the company are left out. The rank columns order the queue by
+    what a decision is worth.
     """
     waiting = company_stats(rows).filter(F.col("first_no").isNotNull()) \
         .filter(~gates.is_agency()).withColumn("key", normalize_name("company"))
     if aliases is not None:
         waiting = waiting.join(licence.alias_keys(aliases).select("key"), "key", "left_anti")
     hits = licence.suggest(licence.open_keys(waiting, lookup), lookup)
+    if rejections is not None:
+        hits = licence.without_rejected(hits, rejections)
     grouped = hits.groupBy("key").agg(
         F.transform(F.array_sort(F.collect_list(
             F.struct("rule", "ord", "candidate", "rating", "why"))),
@@ -69,41 +73,31 @@ def queue_order() -> list:
             F.lower("company"), "company"]
 
 
-def review_queue(entries: DataFrame, rejections: DataFrame | None = None) -> DataFrame:
-    """One item per normalised company, spellings merged, rejected suggestions removed.
+def review_queue(entries: DataFrame) -> DataFrame:
+    """One item per normalised company, spellings merged.
 
     Suggestions depend on the key alone, so every spelling carries the same ones.
     """
-    if rejections is not None:
-        open_hits = licence.without_rejected(
-            entries.select("key", F.inline("suggestions"))
-            .withColumnRenamed("register_name", "candidate").distinct(), rejections)
-        kept = open_hits.groupBy("key").agg(F.collect_set("candidate").alias("_kept"))
-        entries = entries.join(kept, "key").withColumn("suggestions", F.filter(
-            "suggestions", lambda s: F.array_contains("_kept", s["register_name"]))) \
-            .drop("_kept")
     rank = F.struct((~F.col("priority")).alias("p"), (-F.col("tier_count")).alias("t"),
                     (-F.col("tech_rows")).alias("n"), F.lower("company").alias("c"),
                     F.col("company").alias("raw"))
     ranked = entries.withColumn("_rank", rank)
+    # A tier set is one of eight, so collecting the distinct sets is bounded.
     merged = ranked.groupBy("key").agg(
         F.min_by("company", F.struct(F.length("company"), "_rank")).alias("company"),
-        F.sum("rows").alias("rows"), F.max("priority").alias("priority"),
+        F.sum("rows").cast("bigint").alias("rows"), F.max("priority").alias("priority"),
         F.min_by("suggestions", "_rank").alias("suggestions"),
-        F.min("_rank").alias("_rank"))
-    tiers = entries.select("key", F.explode("tiers").alias("tier")).groupBy("key") \
-        .agg(F.array_sort(F.collect_set("tier")).alias("tiers"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tiers")))).alias("tiers"),
+        F.min("_rank").alias("queue_rank"))
     titles = first_per_key(
         ranked.select("key", "_rank", F.posexplode("tech_titles").alias("pos", "title")),
         ["key"], ["_rank", "pos"], TITLES_SHOWN) \
         .groupBy("key").agg(F.transform(F.array_sort(F.collect_list(
             F.struct("_rank", "pos", "title"))), lambda t: t["title"]).alias("tech_titles"))
-    none = F.array().cast("array<string>")
-    return merged.join(tiers, "key", "left").join(titles, "key", "left").select(
-        "key", "company", F.col("rows").cast("bigint").alias("rows"),
-        F.coalesce("tiers", none).alias("tiers"),
-        F.coalesce("tech_titles", none).alias("tech_titles"), "priority", "suggestions",
-        F.col("_rank").alias("queue_rank"))
+    return merged.join(titles, "key", "left").select(
+        "key", "company", "rows", "tiers",
+        F.coalesce("tech_titles", F.array().cast("array<string>")).alias("tech_titles"),
+        "priority", "suggestions", "queue_rank")
 
 
 def confirmations(ticks: DataFrame, lookup: DataFrame, as_of) -> DataFrame:

@@ -1,7 +1,7 @@
 """Daily shortlist and apply shortlist."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from licmatch import rules
 from licmatch.functions import gates
@@ -27,13 +27,12 @@ def normal_rulings(rulings: DataFrame) -> DataFrame:
     return first_per_key(keyed, ["company_part", "title_part", "rank"], ["ruling_ord"])
 
 
-def _matching_parts(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
-    """Add ``part``: one row per part the text contains, found by an equi join.
+def _with_parts(texts: DataFrame, text: str, lengths: Column, part: str) -> DataFrame:
+    """One row per distinct substring of ``text`` whose length occurs among the rulings.
 
-    Every text is expanded into its substrings of the lengths that occur among the parts, so
-    only true matches come out and nothing is compared pairwise.
+    Containment becomes an equi join on ``part``: only true matches come out of it and
+    nothing is compared pairwise.
     """
-    lengths = parts.select(F.collect_set(F.length(part))).scalar()
     return texts.withColumn("_lengths", lengths) \
         .withColumn(part, F.explode(substrings(F.col(text), F.col("_lengths")))) \
         .drop("_lengths")
@@ -46,13 +45,16 @@ def attach_rulings(rows: DataFrame, rulings: DataFrame) -> DataFrame:
     Companies are expanded once per distinct name, titles only where the company matched.
     """
     known = normal_rulings(rulings)
+    lengths = known.select(F.explode(F.array(F.length("company_part"),
+                                             F.length("title_part"))).alias("n")) \
+        .select(F.collect_set("n")).scalar()
     subjects = rows.select("ord", normalise("company").alias("_company"),
                            normalise("title").alias("_title"))
-    companies = _matching_parts(subjects.select("_company").distinct(), "_company",
-                                known, "company_part") \
+    companies = _with_parts(subjects.select("_company").distinct(), "_company", lengths,
+                            "company_part") \
         .join(known.select("company_part"), "company_part", "left_semi")
-    found = _matching_parts(subjects.join(companies, "_company"), "_title",
-                            known, "title_part") \
+    found = _with_parts(subjects.join(companies, "_company"), "_title", lengths,
+                        "title_part") \
         .join(known, ["company_part", "title_part"])
     first = first_per_key(
         found.select("ord", "rank", "ruling_ord", "verdict", "reason", "verified"),

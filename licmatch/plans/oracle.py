@@ -279,8 +279,8 @@ CTES: dict[str, str] = {
         SELECT c.company, {norm('c.company')} AS key, c.nrows, c.tiers, c.ntech, c.tcount
         FROM (SELECT trim(company) AS company, count(*) AS nrows,
                      count(*) FILTER ({tech_role()}) AS ntech,
-                     array_to_string(list_sort(list(DISTINCT tier)
-                                     FILTER (tier IN ('1', '2', '3'))), '/') AS tiers,
+                     coalesce(array_to_string(list_sort(list(DISTINCT tier)
+                         FILTER (tier IN ('1', '2', '3'))), '/'), '') AS tiers,
                      count(DISTINCT tier) FILTER (tier IN ('1', '2', '3')) AS tcount,
                      count(*) FILTER (sponsor_match = 'no') AS nno
               FROM exact_matched GROUP BY 1) c

@@ -248,7 +248,8 @@ def _(t):
 
 @query("j22_flagged_suggestions", """
     SELECT h.key, h.candidate, x.key IS NOT NULL AS rejected FROM top3 h
-    LEFT JOIN rejections x ON x.key = h.key AND x.register_name = h.candidate""")
+    LEFT JOIN (SELECT DISTINCT key, register_name FROM rejections) x
+      ON x.key = h.key AND x.register_name = h.candidate""")
 def _(t):
     keys = licence.open_keys(t.postings, r.lookup(t))
     hits = licence.suggest(keys, r.lookup(t))
@@ -341,8 +342,9 @@ _QUEUE = """
 
 @query("a5_review_queue", _QUEUE)
 def _(t):
-    entries = review.review_candidates(r.exact_matched(t), r.lookup(t), t.aliases)
-    queue = review.review_queue(entries, t.rejections)
+    entries = review.review_candidates(r.exact_matched(t), r.lookup(t), t.aliases,
+                                       t.rejections)
+    queue = review.review_queue(entries)
     return queue.select(
         "key", "company", "rows", "priority", F.array_join("tiers", "/").alias("tiers"),
         F.array_join(F.transform("suggestions", lambda s: s["register_name"]), "|")
@@ -391,8 +393,8 @@ def _(t):
                  {o.disqualified()} AS reason FROM exact_matched) m""")
 def _(t):
     rows = r.exact_matched(t)
-    entries = review.review_candidates(rows, r.lookup(t), t.aliases)
-    due = review.review_queue(entries, t.rejections).select(F.count(F.lit(1))).scalar()
+    entries = review.review_candidates(rows, r.lookup(t), t.aliases, t.rejections)
+    due = entries.select(F.count_distinct("key")).scalar()
     return views.overview(rows, due)
 
 
