@@ -690,7 +690,8 @@ def _(t):
     return t.postings.select("ord", pf.role_question("title").alias("question"))
 
 
-_ASCII_TEXT = F.regexp_replace("text", "[^\\x00-\\x7F]", " ")
+def _ascii_text():
+    return F.regexp_replace("text", "[^\\x00-\\x7F]", " ")
 
 
 def _signal_sql() -> str:
@@ -717,7 +718,7 @@ def _bios(t):
     tail = F.expr("CASE doc_id % 8 WHEN 0 THEN ' London, UK' WHEN 1 THEN ' Mumbai India' "
                   "WHEN 2 THEN ' Hindi' WHEN 3 THEN ' UoN' WHEN 4 THEN ' Surat' "
                   "WHEN 5 THEN ' Wales' WHEN 6 THEN ' delhi' ELSE '' END")
-    return t.documents.select("doc_id", F.concat(_ASCII_TEXT, tail).alias("txt"))
+    return t.documents.select("doc_id", F.concat(_ascii_text(), tail).alias("txt"))
 
 
 @query("p31_priority_pick", f"""
@@ -746,7 +747,7 @@ def _(t):
     SELECT doc_id, substring(trim(regexp_replace(lower({o.ascii_only('text')}),
            '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS slug FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", tx.slug(_ASCII_TEXT).alias("slug"))
+    return t.documents.select("doc_id", tx.slug(_ascii_text()).alias("slug"))
 
 
 _SNIP = "trim(regexp_replace(txt, '\\s+', ' ', 'g'))"
@@ -825,7 +826,7 @@ def _(t):
     FROM documents""")
 def _(t):
     pattern = rules.word_pattern(["the", "und", "que"])
-    return t.documents.select("doc_id", tx.has(_ASCII_TEXT, pattern).alias("hit"))
+    return t.documents.select("doc_id", tx.has(_ascii_text(), pattern).alias("hit"))
 
 
 @query("f2_noise_title", f"""
