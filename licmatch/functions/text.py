@@ -26,7 +26,11 @@ def blank(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.trim(blank(c), F.lit(WHITESPACE))
+    """Trim every kind of whitespace; a text with ordinary ends is passed through."""
+    value = blank(c)
+    ends = [F.ascii(value), F.ascii(F.substring(value, -1, 1))]
+    plain = ends[0].between(33, 132) & ends[1].between(33, 132)
+    return F.when(plain, value).otherwise(F.trim(value, F.lit(WHITESPACE)))
 
 
 def or_else(*cols: Column | str) -> Column:

@@ -27,42 +27,56 @@ def normal_rulings(rulings: DataFrame) -> DataFrame:
     return first_per_key(keyed, ["company_part", "title_part", "rank"], ["ruling_ord"])
 
 
+_TITLE_SHIFT = 1_000_000
+
+
 def _with_parts(texts: DataFrame, text: str, lengths: Column, part: str) -> DataFrame:
     """One row per distinct substring of ``text`` whose length occurs among the rulings.
 
     Containment becomes an equi join on ``part``: only true matches come out of it and
     nothing is compared pairwise.
     """
-    return texts.withColumn("_lengths", lengths) \
+    if part == "title_part":
+        wanted = F.transform(F.filter("_lengths", lambda n: n >= _TITLE_SHIFT),
+                             lambda n: n - _TITLE_SHIFT)
+    else:
+        wanted = F.filter("_lengths", lambda n: n < _TITLE_SHIFT)
+    return texts.withColumn("_lengths", lengths).withColumn("_lengths", wanted) \
         .withColumn(part, F.explode(substrings(F.col(text), F.col("_lengths")))) \
         .drop("_lengths")
 
 
-def attach_rulings(rows: DataFrame, rulings: DataFrame) -> DataFrame:
+def attach_rulings(rows: DataFrame, rulings: DataFrame,
+                   subjects: DataFrame | None = None) -> DataFrame:
     """Most specific prior ruling per row: role before company, file order, first wins.
 
     A ruling matches by containment; an empty half of a ruling key matches everything.
     Companies are expanded once per distinct name, titles only where the company matched.
+    ``subjects`` may name a cheaper frame that holds every company and title of ``rows``,
+    such as the raw postings; only those two columns of it are read.
     """
     known = normal_rulings(rulings)
-    lengths = known.select(F.explode(F.array(F.length("company_part"),
-                                             F.length("title_part"))).alias("n")) \
+    # Lengths that occur, title lengths shifted: one small scalar serves both expansions.
+    lengths = known.select(F.explode(F.array(
+        F.length("company_part"), F.length("title_part") + _TITLE_SHIFT)).alias("n")) \
         .select(F.collect_set("n")).scalar()
-    subjects = rows.select("ord", normalise("company").alias("_company"),
-                           normalise("title").alias("_title"))
-    companies = _with_parts(subjects.select("_company").distinct(), "_company", lengths,
+    pairs = (rows if subjects is None else subjects).select(
+        normalise("company").alias("_company"), normalise("title").alias("_title")) \
+        .distinct()
+    companies = _with_parts(pairs.select("_company").distinct(), "_company", lengths,
                             "company_part") \
         .join(known.select("company_part"), "company_part", "left_semi")
-    found = _with_parts(subjects.join(companies, "_company"), "_title", lengths,
-                        "title_part") \
+    found = _with_parts(pairs.join(companies, "_company"), "_title", lengths, "title_part") \
         .join(known, ["company_part", "title_part"])
     first = first_per_key(
-        found.select("ord", "rank", "ruling_ord", "verdict", "reason", "verified"),
-        ["ord"], ["rank", "ruling_ord"])
-    return rows.join(first.select(
-        "ord", F.col("verdict").alias("ruling_verdict"),
+        found.select("_company", "_title", "rank", "ruling_ord", "verdict", "reason",
+                     "verified"), ["_company", "_title"], ["rank", "ruling_ord"])
+    keyed = rows.withColumn("_company", normalise("company")) \
+        .withColumn("_title", normalise("title"))
+    return keyed.join(first.select(
+        "_company", "_title", F.col("verdict").alias("ruling_verdict"),
         F.col("reason").alias("ruling_reason"),
-        F.col("verified").alias("ruling_verified")), "ord", "left") \
+        F.col("verified").alias("ruling_verified")), ["_company", "_title"], "left") \
         .select(*rows.columns, "ruling_verdict", "ruling_reason", "ruling_verified")
 
 
@@ -72,15 +86,9 @@ def first_listings(rows: DataFrame, order: str = "ord") -> DataFrame:
     return first_per_key(keyed, ["_t", "_c"], [order]).drop("_t", "_c")
 
 
-def duplicate_count(rows: DataFrame) -> DataFrame:
-    """How many rows repeat an earlier (title, company); one row."""
-    return rows.groupBy(normalise("title").alias("_t"), normalise("company").alias("_c")) \
-        .agg((F.count(F.lit(1)) - 1).alias("extra")) \
-        .agg(F.coalesce(F.sum("extra"), F.lit(0)).cast("bigint").alias("rows"))
-
-
 def gated(rows: DataFrame, rulings: DataFrame | None, as_of, max_age: int | None = 30,
-          include_agency: bool = False, closures: DataFrame | None = None) -> DataFrame:
+          include_agency: bool = False, closures: DataFrame | None = None,
+          subjects: DataFrame | None = None) -> DataFrame:
     """Rows with a ``drop_reason`` (null = still in), before duplicates are counted."""
     judged = rows.withColumn("_gate", gates.disqualify(as_of, max_age))
     if closures is not None:
@@ -91,10 +99,7 @@ def gated(rows: DataFrame, rulings: DataFrame | None, as_of, max_age: int | None
         ruled = judged.withColumns({n: F.lit(None).cast("string") for n in (
             "ruling_verdict", "ruling_reason", "ruling_verified")})
     else:
-        # Only rows that pass the gates can need a ruling.
-        passed = attach_rulings(judged.filter(F.col("_gate").isNull()), rulings)
-        failed = judged.filter(F.col("_gate").isNotNull())
-        ruled = passed.unionByName(failed, allowMissingColumns=True)
+        ruled = attach_rulings(judged, rulings, subjects)
     reason = F.coalesce(
         F.col("_gate"), F.when(F.col("ruling_verdict") == "CUT", CUT_REASON),
         F.lit(None) if include_agency else F.when(gates.is_agency(), AGENCY_REASON))
@@ -102,7 +107,8 @@ def gated(rows: DataFrame, rulings: DataFrame | None, as_of, max_age: int | None
 
 
 def survivors(rows: DataFrame, rulings: DataFrame | None, as_of, max_age: int | None = 30,
-              include_agency: bool = False, closures: DataFrame | None = None) -> DataFrame:
+              include_agency: bool = False, closures: DataFrame | None = None,
+              subjects: DataFrame | None = None) -> DataFrame:
     """The candidates: gated, one row per (title, company), prior CUTs removed.
 
     A ruling depends on the duplicate key alone, so duplicates go first: the ruling join
@@ -117,7 +123,7 @@ def survivors(rows: DataFrame, rulings: DataFrame | None, as_of, max_age: int |
     if rulings is None:
         return kept.withColumns({n: F.lit(None).cast("string") for n in (
             "ruling_verdict", "ruling_reason", "ruling_verified")})
-    return attach_rulings(kept, rulings) \
+    return attach_rulings(kept, rulings, subjects) \
         .filter(~F.col("ruling_verdict").eqNullSafe(F.lit("CUT")))
 
 
@@ -150,14 +156,16 @@ def attach_verdicts(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 def daily_shortlist(rows: DataFrame, rulings: DataFrame | None, as_of, top: int = 10,
                     max_age: int | None = None, include_agency: bool = False,
                     verdicts: DataFrame | None = None,
-                    closures: DataFrame | None = None) -> DataFrame:
+                    closures: DataFrame | None = None,
+                    subjects: DataFrame | None = None) -> DataFrame:
     """Ranked candidates of the day: gate, rulings, first listing, score, top N.
 
     With ``verdicts`` a pool of three times N is checked, so that dropping dead postings
     still leaves N.
     """
     limit = age_limit(max_age, verdicts is not None)
-    ranked = scored(survivors(rows, rulings, as_of, limit, include_agency, closures), as_of)
+    kept = survivors(rows, rulings, as_of, limit, include_agency, closures, subjects)
+    ranked = scored(kept, as_of)
     order = [F.desc("score"), F.asc("ord")]
     if verdicts is not None:
         pool = ranked.orderBy(*order).limit(max(top * 3, top))
@@ -166,14 +174,18 @@ def daily_shortlist(rows: DataFrame, rulings: DataFrame | None, as_of, top: int
 
 
 def drop_histogram(rows: DataFrame, rulings: DataFrame | None, as_of,
-                   max_age: int | None = 30, include_agency: bool = False) -> DataFrame:
+                   max_age: int | None = 30, include_agency: bool = False,
+                   subjects: DataFrame | None = None) -> DataFrame:
     """(reason, rows): why rows are not candidates, duplicates included."""
-    judged = gated(rows, rulings, as_of, max_age, include_agency)
-    reasons = judged.filter(F.col("drop_reason").isNotNull()) \
-        .groupBy(F.col("drop_reason").alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
-    repeated = duplicate_count(judged.filter(F.col("drop_reason").isNull())) \
-        .select(F.lit(DUPLICATE_REASON).alias("reason"), "rows").filter(F.col("rows") > 0)
-    return reasons.unionByName(repeated)
+    judged = gated(rows, rulings, as_of, max_age, include_agency, subjects=subjects)
+    # One pass: rows still in are counted per duplicate key, all but one of a key repeat.
+    still_in = F.col("drop_reason").isNull()
+    keyed = judged.groupBy(
+        "drop_reason", F.when(still_in, normalise("title")).alias("_t"),
+        F.when(still_in, normalise("company")).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+    return keyed.groupBy(F.coalesce("drop_reason", F.lit(DUPLICATE_REASON)).alias("reason")) \
+        .agg(F.sum(F.when(still_in, F.col("n") - 1).otherwise(F.col("n"))).alias("rows")) \
+        .filter(F.col("rows") > 0)
 
 
 # --- apply shortlist --------------------------------------------------------------------

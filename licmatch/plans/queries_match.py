@@ -368,7 +368,7 @@ def _(t):
                         ORDER BY ord) > 1 THEN 'duplicate listing' END) AS reason
         FROM gated) g WHERE reason IS NOT NULL GROUP BY 1""")
 def _(t):
-    return shortlist.drop_histogram(r.matched(t), t.rulings, TODAY)
+    return shortlist.drop_histogram(r.matched(t), t.rulings, TODAY, subjects=t.postings)
 
 
 @query("a7_ingest_drops", """
@@ -665,7 +665,8 @@ def _(t):
     SELECT id, title, company, score, reasons FROM ranked ORDER BY score DESC, ord
     LIMIT 20""")
 def _(t):
-    top = shortlist.daily_shortlist(r.matched(t), t.rulings, TODAY, top=20)
+    top = shortlist.daily_shortlist(r.matched(t), t.rulings, TODAY, top=20,
+                                    subjects=t.postings)
     return top.select("id", "title", "company", "score",
                       F.array_join("reasons", ", ").alias("reasons"))
 
@@ -683,7 +684,7 @@ def _(t):
     WHERE coalesce(liveness, '') <> 'dead' ORDER BY score DESC, ord LIMIT 20""")
 def _(t):
     top = shortlist.daily_shortlist(r.matched(t), t.rulings, TODAY, top=20,
-                                    verdicts=t.sql(_VERDICTS))
+                                    verdicts=t.sql(_VERDICTS), subjects=t.postings)
     return top.select("id", "score", "liveness")
 
 

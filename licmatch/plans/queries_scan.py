@@ -251,7 +251,8 @@ _REPORT = f"""
 
 @query("s18_shortlist_report", _REPORT)
 def _(t):
-    top = shortlist.daily_shortlist(r.matched(t), t.rulings, TODAY, top=30)
+    top = shortlist.daily_shortlist(r.matched(t), t.rulings, TODAY, top=30,
+                                    subjects=t.postings)
     return reports.shortlist_report(top, TODAY)
 
 
