@@ -14,7 +14,7 @@ from licmatch.operators.store import conform
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(path, body): one whole payload per file."""
-    return spark.read.option("wholetext", True).text(path) \
+    return spark.read.text(path, wholetext=True) \
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 

@@ -96,7 +96,7 @@ def merge_outcomes(boards: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
 # --- overlays ---------------------------------------------------------------------------------
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def explode_map(raw: DataFrame, text: str, map_type: T.MapType, key: str) -> DataFrame:
