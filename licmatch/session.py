@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Regex and substring work is heavy per byte, so small shuffles still spread over cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # The JVM does not compile methods above 8000 bytes; past that, fused stages run slower
+    # than separate operators.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
