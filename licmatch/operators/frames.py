@@ -44,20 +44,22 @@ def carry_forward(df: DataFrame, group: list[str], order: str, value: str, out:
 
 
 def dense_sequence(df: DataFrame, order: str, out: str, start: Column | int = 1,
-                   chunk: int = 65536) -> DataFrame:
-    """Consecutive numbers in the order of a unique integer column, without one task
-    holding everything: numbers inside chunks of the order column plus chunk offsets."""
+                   chunk: int = 65536, within: tuple[str, ...] = ()) -> DataFrame:
+    """Consecutive numbers in the order of ``within`` and a unique integer column, without
+    one task holding everything: numbers inside chunks of the order column plus chunk
+    offsets."""
+    keys = [*within, "_chunk"]
     cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
     rows = cut.withColumn("_n", F.row_number().over(
-        Window.partitionBy("_chunk").orderBy(order)))
+        Window.partitionBy(*keys).orderBy(order)))
     # One row per chunk: the only step that needs a global order.
-    sizes = cut.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.withColumn("_offset", F.coalesce(
-        F.sum("_size").over(Window.orderBy("_chunk")
+        F.sum("_size").over(Window.orderBy(*keys)
                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
         .drop("_size")
     base = start if isinstance(start, Column) else F.lit(start)
-    return rows.join(offsets, "_chunk") \
+    return rows.join(offsets, keys) \
         .withColumn(out, (F.col("_n") + F.col("_offset") + base - 1).cast("bigint")) \
         .drop("_chunk", "_n", "_offset")
 

@@ -157,15 +157,13 @@ def _(t):
     FROM matched""")
 def _(t):
     from licmatch.operators.frames import dense_sequence
-    # The written order as positions, numbered without one task seeing every row: the sort
-    # key is folded into one integer.
-    rows = r.matched(t)
-    rank = F.when(F.col("sponsor_match") == "yes", 0).otherwise(1) * 2 \
-        + F.when(gates.is_london(), 0).otherwise(1)
-    key = (rank * 10_000_000 + (9_999_999 - tx.as_int("salary_max"))) * 100_000_000 \
-        + F.col("ord")
-    return dense_sequence(rows.withColumn("_key", key), "_key", "place",
-                          chunk=2 ** 40).select("place", "id")
+    # The written order as positions, numbered without one task seeing every row.
+    rows = r.matched(t).select(
+        "id", "ord", F.when(F.col("sponsor_match") == "yes", 0).otherwise(1).alias("_yes"),
+        F.when(gates.is_london(), 0).otherwise(1).alias("_london"),
+        (-tx.as_int("salary_max")).alias("_salary"))
+    return dense_sequence(rows, "ord", "place", within=("_yes", "_london", "_salary")) \
+        .select("place", "id")
 
 
 @query("s13_shortlist_view", """

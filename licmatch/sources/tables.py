@@ -168,6 +168,11 @@ def write_overlay(table: DataFrame, path: str, key: str) -> None:
     table.orderBy(key).write.mode("overwrite").json(path)
 
 
+def read_overlay(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
+    """An overlay of any size, as ``write_overlay`` leaves it: one JSON line per entry."""
+    return spark.read.schema(columns).json(path)
+
+
 def overlay_json(table: DataFrame, key: str) -> DataFrame:
     """The overlay as one JSON object, for export of a human-sized overlay."""
     value = F.struct(*[c for c in table.columns if c not in (key, "ord")])

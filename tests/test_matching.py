@@ -203,3 +203,37 @@ def test_no_pairwise_join_in_plans(spark):
                   shortlist.attach_rulings(names, rulings)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+SKEW = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+
+
+def test_hot_company_is_split(spark):
+    """A third of all postings at one employer: the match join splits that partition."""
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        lookup = spark.range(500).select(
+            F.concat(F.lit("ORG "), F.col("id").cast("string")).alias("key"),
+            F.lit("A").alias("rating"), F.col("id").alias("ord"))
+        rows = spark.range(0, 60000, 1, 12).select(
+            F.col("id").alias("ord"), F.concat(F.lit("Org "), F.when(
+                F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 700).cast("string"))
+            .alias("company"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        found = licence.match_companies(rows, lookup)
+        result = found.filter("sponsor_match = 'yes'")
+        total = len(result.collect())
+        assert total == sum(1 for i in range(60000) if i % 3 == 0 or i % 700 < 500)
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
