@@ -26,11 +26,14 @@ def company_stats(rows: DataFrame) -> DataFrame:
         F.min(F.when(F.col("unmatched"), F.col("ord"))).alias("first_no"))
 
 
-def tech_titles(rows: DataFrame, companies: DataFrame) -> DataFrame:
-    """The first tech titles of each company, in row order."""
+def tech_titles(rows: DataFrame) -> DataFrame:
+    """The first tech titles of each company, in row order.
+
+    At most three rows per company and task reach the shuffle, so narrowing to the companies
+    under review first would only cost a second pass over them.
+    """
     named = rows.filter(gates.is_tech_role()) \
-        .select(strip("company").alias("company"), "title", "ord") \
-        .join(companies.select("company"), "company", "left_semi")
+        .select(strip("company").alias("company"), "title", "ord")
     top = first_per_key(named, ["company"], ["ord"], TITLES_SHOWN)
     return top.groupBy("company").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))),
@@ -59,7 +62,7 @@ def review_candidates(rows: DataFrame, lookup: DataFrame,
             lambda s: F.struct(s["candidate"].alias("register_name"), s["rating"],
                                s["why"])).alias("suggestions"))
     found = waiting.join(grouped, "key")
-    titled = found.join(tech_titles(rows, found), "company", "left") \
+    titled = found.join(tech_titles(rows), "company", "left") \
         .withColumn("tech_titles",
                     F.coalesce("tech_titles", F.array().cast("array<string>")))
     return titled.select(
