@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import functools
-import re
 
 from pyspark.sql import Column, functions as F
 

@@ -15,7 +15,6 @@ from licmatch.plans import relations as r
 from licmatch.plans.fixtures import AS_OF
 from licmatch.plans.queries_scan import _BIO, _bios, _signal_sql
 from licmatch.plans.registry import query
-from licmatch.sources import tables
 
 TODAY = AS_OF
 _STAMP = ["ord", "sponsor_match", "sponsor_rating", "sponsor_route"]

@@ -7,10 +7,10 @@ from licmatch import rules, schema
 from licmatch.functions import dates, gates
 from licmatch.functions import people as pf
 from licmatch.functions import text as tx
-from licmatch.operators import audit, decisions, licence, people, shortlist, store, views
+from licmatch.operators import audit, decisions, shortlist, store, views
 from licmatch.plans import oracle as o
 from licmatch.plans import relations as r
-from licmatch.plans.fixtures import AS_OF, CTES, HINT_TEXT
+from licmatch.plans.fixtures import AS_OF
 from licmatch.plans.registry import query
 from licmatch.sources import feeds, reports, searches, tables
 

@@ -1,7 +1,6 @@
 """Session settings the operators are tuned for."""
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +43,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="licmatch-ck-"))
     return df.checkpoint(eager=True)
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A path below the cluster's shared folder for a named intermediate table."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(root or tempfile.mkdtemp(prefix="licmatch-"), name)
