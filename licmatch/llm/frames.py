@@ -4,6 +4,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,6 +13,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 NO_ID = 2**63 - 1
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, so that tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="licmatch-")) / "licmatch_llm.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            archive.write(root.parent / "__init__.py", "licmatch/__init__.py")
+            for file in sorted(root.glob("*.py")):
+                archive.write(file, f"licmatch/llm/{file.name}")
+        context.addPyFile(str(target))
+        _SHIPPED.add(context.applicationId)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

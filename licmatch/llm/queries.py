@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from licmatch.llm import ngram_join, repetition
-from licmatch.llm.frames import read_documents
+from licmatch.llm import bpe, ngram_join, recompression, repetition
+from licmatch.llm.frames import read_documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -14,7 +14,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -29,3 +33,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_table(read_documents(spark, sf_dir))
+
+
+@query("op9_recompression")
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.substring_dedup(read_documents(spark, sf_dir)).drop("kept")
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read_documents(spark, sf_dir), ["doc_id"], with_ids=False)
