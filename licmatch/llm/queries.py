@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from licmatch.llm import bpe, ngram_join, recompression, repetition
+from licmatch.llm import (bpe, line_dedup, minhash, mixture, ngram_join, recompression,
+                          repetition, toxicity)
 from licmatch.llm.frames import read_documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,24 @@ def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_documents(spark, sf_dir), ["doc_id"], with_ids=False)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_documents(spark, sf_dir),
+                             spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(read_documents(spark, sf_dir))
+
+
+@query("op6_source_mix", mixture.ORACLE)
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(read_documents(spark, sf_dir)).drop("copies")
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_documents(spark, sf_dir))

@@ -239,11 +239,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     shared = stage(anchors.join(common, "anchor").groupBy("owner", "version")
                    .agg(F.collect_list("anchor").alias("shared")))
 
-    # The owners' texts that share an anchor; repeated rows of one doc_id and text are one.
+    # The owners' texts that share an anchor.
     version = F.expr("cast(conv(substr(sha2(text, 256), 1, 16), 16, -10) as long)")
     bodies = stage(docs.join(shared.withColumnRenamed("owner", "doc_id"), "doc_id")
-                   .where(version == F.col("version"))
-                   .dropDuplicates(["doc_id", "version"]))
+                   .where(version == F.col("version")))
     windows = stage(window_table(bodies, width)
                     .select("doc_id", "version", F.arrays_zip("start", "h1", "h2").alias("w"))
                     .selectExpr("doc_id", "version", "inline(w)"))
@@ -251,8 +250,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
              .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
              .where("lo < hi").select("h1", "h2", "lo"))
     removed = stage(windows.join(first, ["h1", "h2"]).where("doc_id > lo")
-                    .groupBy("doc_id", "version").agg(F.collect_list("start").alias("removed")))
-    cut = cut_table(bodies.join(removed, ["doc_id", "version"]), width)
+                    .groupBy("doc_id", "version").agg(F.collect_set("start").alias("removed")))
+    # Repeated rows of one doc_id and text give equal results.
+    cut = (cut_table(bodies.join(removed, ["doc_id", "version"]), width)
+           .dropDuplicates(["owner", "version"]))
 
     rows = (table.drop("anchors")
             .join(owners.select("content", "owner"), "content")

@@ -56,8 +56,9 @@ class Words:
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False,
-               table: np.ndarray | None = None) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8 bytes)."""
+               table: np.ndarray | None = None, stem: int | None = None) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (UTF-8 bytes), or their first
+    ``stem`` bytes."""
     base = int(offsets[0])
     data, offsets = data[base:int(offsets[-1])], offsets - base
     size = len(data)
@@ -74,6 +75,8 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False,
     padded = np.zeros(size + 8, dtype=np.uint8)
     padded[:size] = _LOWER[data] if lower else data
     eight = np.ndarray((size + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    if stem is not None:
+        ends = np.minimum(ends, starts + stem)
     lengths = ends - starts
     hashes = mix(lengths.astype(_U) + _U(0x51ED270B9F1D6A35))
     short = np.minimum(lengths, 8)
