@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from licmatch.llm import (bpe, line_dedup, minhash, mixture, ngram_join, recompression,
-                          repetition, toxicity)
+from licmatch.llm import (bpe, line_dedup, minhash, mixture, ngram_join, pii, recompression,
+                          repetition, secret_ledger, toxicity)
 from licmatch.llm.frames import read_documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_documents(spark, sf_dir))
+
+
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_documents(spark, sf_dir))
+
+
+@query("op5_secret_ledger")
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.secrets(read_documents(spark, sf_dir))
