@@ -6,9 +6,10 @@ for, hence global: equal parts get equal names in every document without a dicti
 tasks would have to share. Whether two neighbours form a pair depends on their names only, so
 the symbols inside equal substrings agree, except near the ends.
 
-Every symbol carries the words its making depended on. A window of ``width`` words whose
-dependence lies inside it holds that symbol wherever the window occurs; the least name among
-its highest symbols is the window's anchor (a window without one is its own anchor). A window
+Every symbol carries the range of words its making depended on, and is named after them in the
+end. A window of ``width`` words that contains this range holds the symbol wherever the window
+occurs; the least name among its highest symbols is the window's anchor (a window without one,
+as in long runs of a word, is its own anchor). A window
 repeats in another text only if its anchor does, so only windows with an anchor found in two
 different texts are looked at word by word (128-bit hashes), and this settles the repeats.
 
@@ -100,22 +101,33 @@ def window_anchors(words: W.Words, width: int = WIDTH) -> tuple[np.ndarray, np.n
     last = np.repeat(words.first[1:], np.diff(words.first)) - width
     starts = np.flatnonzero(np.arange(size) <= last)
     anchors = np.full(size, _NONE, dtype=_U)
-    one = compress_pairs(compress_runs(word_symbols(words), 1), 1)
-    two = compress_pairs(compress_runs(one, 2), 2)
-    for level, s in ((2, two), (1, one)):
-        found = np.full(size, _NONE, dtype=_U)
-        for back in range(width):
-            at = s.lo - back
-            # The window [at, at + width) holds the symbol's dependence.
-            holds = np.flatnonzero((s.hi <= at + width) & (at >= 0))
-            np.minimum.at(found, at[holds], W.mix(s.names[holds] + _U(level)))
-        anchors = np.where(anchors == _NONE, found, anchors)
+    top = word_symbols(words)
+    for level in (1, 2):
+        top = compress_pairs(compress_runs(top, level), level)
+    # A symbol goes by all words that it depends on: few of them are shared by chance.
+    fits = np.flatnonzero((top.hi - top.lo <= width) & (top.lo >= 0))
+    lo, hi = top.lo[fits], top.hi[fits]
+    names = range_hashes(words.hashes, lo, np.minimum(hi, size))
+    for back in range(width):
+        # The window [at, at + width) holds the symbol's dependence.
+        at = lo - back
+        holds = np.flatnonzero((hi <= at + width) & (at >= 0))
+        np.minimum.at(anchors, at[holds], names[holds])
     bare = starts[anchors[starts] == _NONE]
     if len(bare):
         anchors[bare] = ngram_at(words.hashes, bare, width, 3)
     return starts, anchors[starts]
 
 
+def range_hashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of each run of words [lo, hi), from sums over the powers of an odd number."""
+    odd = 0x9E3779B97F4A7C15
+    power = np.cumprod(np.full(len(hashes), odd, dtype=_U))
+    inverse = np.cumprod(np.full(len(hashes), pow(odd, -1, 2**64), dtype=_U))
+    sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(hashes * power)))
+    return W.join2((sums[hi] - sums[lo]) * inverse[lo], (hi - lo).astype(_U), seed=9)
+
+
 def ngram_at(hashes: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Hash of the windows that begin at ``starts``."""
     out = np.full(len(starts), width, dtype=_U)
