@@ -174,7 +174,7 @@ def lint_warnings(text: Column | str, extra: list[tuple[str, str]] = ()) -> Colu
             F.lit("asks for a referral ('"), hit,
             F.lit("') — the first message should ask a question instead"))))
     found.append(F.when(blank(text).contains("—") | blank(text).contains(" -- "),
-                        F.lit("em dash used as a pause (voice-dna.md)")))
+                        F.lit("em dash used as a pause")))
     for pattern, message in extra:
         found.append(F.when(has(text, pattern), F.lit(message)))
     return F.array_compact(F.array(*found))

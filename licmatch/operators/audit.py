@@ -40,30 +40,65 @@ def canonical(entry: DataFrame, names: list[str]) -> Column:
     return F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
 
 
-def chunk_genesis(chunk: Column) -> Column:
-    """First link of a chunk: the log's genesis, or a value tied to the chunk number."""
-    return F.when(chunk == 0, F.lit(rules.GENESIS)) \
-        .otherwise(digest(F.concat(F.lit("chunk "), chunk.cast("string"))))
+def _number(seq: str, chunk: int) -> Column:
+    """Number of the chunk that holds a sequence number, from 0."""
+    return F.expr(f"(cast(`{seq}` as bigint) - 1) div {chunk}")
+
+
+def chunk_starts(bodies: DataFrame, body: str, chunk: int, start: Column | None = None
+                 ) -> DataFrame:
+    """(_chunk, _start): the link that each chunk of a log begins with.
+
+    A chunk's digest is that of its bodies' digests in order. The start of the next chunk is
+    the digest of this chunk's start and digest, so it depends on every entry before it. The
+    chunks' digests are made in parallel; the chain over them, one row per ``chunk`` entries,
+    is folded by one task. ``start`` is the start of the first chunk given (the genesis).
+    """
+    digests = bodies.select("seq", F.sha2(F.col(body), 256).alias("_digest")) \
+        .groupBy(_number("seq", chunk).alias("_chunk")).agg(F.sha2(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("seq", "_digest"))),
+            lambda e: e["_digest"]), ""), 256).alias("_digest"))
+    if start is None:
+        start = F.lit(rules.GENESIS)
+    ordered = digests.agg(F.array_sort(F.collect_list(F.struct("_chunk", "_digest")))
+                          .alias("_chunks")).withColumn("_first", start)
+    begin = F.array(F.struct(F.element_at("_chunks", 1)["_chunk"].alias("_chunk"),
+                             F.col("_first").alias("_start")))
+
+    def extend(done: Column, one: Column) -> Column:
+        return F.concat(done, F.array(F.struct(
+            (one["_chunk"] + 1).alias("_chunk"),
+            digest(F.concat(F.element_at(done, -1)["_start"], F.lit("\n"), one["_digest"]))
+            .alias("_start"))))
+    return ordered.filter(F.size("_chunks") > 0) \
+        .select(F.inline(F.aggregate("_chunks", begin, extend)))
 
 
 def chain(entries: DataFrame, body: str = "body", chunk: int = CHAIN_CHUNK,
-          last_seq: Column | None = None, last_hash: Column | None = None) -> DataFrame:
+          last_seq: Column | None = None, last_hash: Column | None = None,
+          open_chunk: DataFrame | None = None) -> DataFrame:
     """Add prev_hash and hash to entries that carry ``seq`` and their canonical ``body``.
 
     A hash chain is sequential, so it is cut into chunks of consecutive numbers that are
-    folded in parallel; ``chain_heads`` links the chunks. ``last_seq``/``last_hash`` continue
-    a chunk an earlier append left open.
+    folded in parallel from the starts of ``chunk_starts``. ``last_seq`` and ``last_hash``
+    continue a log; ``open_chunk`` then has (seq, prev_hash, body) of the entries of its last
+    chunk.
     """
-    number = F.floor((F.col("seq") - 1) / chunk)
-    start = chunk_genesis(F.col("_chunk"))
-    if last_seq is not None:
-        start = F.when((F.col("_chunk") == F.floor((last_seq - 1) / chunk))
-                       & (F.col("_from") > last_seq), last_hash).otherwise(start)
-    grouped = entries.withColumn("_chunk", number).groupBy("_chunk").agg(
+    known = entries.select("seq", F.col(body).alias("_body"))
+    start = None
+    if open_chunk is not None:
+        known = known.unionByName(open_chunk.select("seq", F.col("body").alias("_body")))
+        start = F.coalesce(open_chunk.select(F.min_by("prev_hash", "seq")).scalar(),
+                           F.lit(rules.GENESIS))
+    starts = chunk_starts(known, "_body", chunk, start)
+    grouped = entries.withColumn("_chunk", _number("seq", chunk)).groupBy("_chunk").agg(
         F.min("seq").alias("_from"),
         F.array_sort(F.collect_list(F.struct("seq", F.col(body).alias("body"))))
-        .alias("_entries"))
-    grouped = grouped.withColumn("_start", start)
+        .alias("_entries")).join(starts, "_chunk")
+    if last_seq is not None:
+        goes_on = (F.col("_from") == last_seq + 1) & ((F.col("_from") - 1) % chunk != 0)
+        grouped = grouped.withColumn("_start", F.when(goes_on, last_hash)
+                                     .otherwise(F.col("_start")))
     link = F.struct(F.lit(0).cast("bigint").alias("seq"), F.col("_start").alias("prev_hash"),
                     F.col("_start").alias("hash"))
 
@@ -72,34 +107,37 @@ def chain(entries: DataFrame, body: str = "body", chunk: int = CHAIN_CHUNK,
         return F.concat(done, F.array(F.struct(
             entry["seq"].alias("seq"), prev.alias("prev_hash"),
             digest(F.concat(prev, F.lit("\n"), entry["body"])).alias("hash"))))
-    links = grouped.select(F.inline(F.slice(
-        F.aggregate("_entries", F.array(link), extend), 2, chunk)))
+    folded = F.aggregate("_entries", F.array(link), extend)
+    links = grouped.select(F.inline(F.slice(folded, 2, F.size(folded))))
     return entries.join(links, "seq")
 
 
-def chain_heads(log: DataFrame, chunk: int = CHAIN_CHUNK) -> DataFrame:
-    """One entry per chunk holding its last hash, itself ready to be chained."""
-    return log.groupBy(F.floor((F.col("seq") - 1) / chunk).alias("_chunk")).agg(
-        F.max_by("hash", "seq").alias("body")) \
-        .select((F.col("_chunk") + 1).alias("seq"), "body")
-
-
 def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str = "ord",
-           max_entries: int = 0, chunk: int = CHAIN_CHUNK) -> DataFrame:
-    """Number and chain a batch behind the log; the result is what gets appended.
+           max_entries: int = 0, chunk: int | None = CHAIN_CHUNK) -> DataFrame:
+    """Number and chain a batch behind the log (seq, prev_hash, hash, body); the result is what
+    gets appended.
 
-    With ``max_entries`` nothing past the cap is admitted.
+    ``chunk=None`` continues an unbroken chain: the batch is folded by one task, since every
+    hash needs the one before. With ``max_entries`` a batch that would pass the cap is refused
+    with an error: no decision is left out.
     """
     last_seq = log.select(F.coalesce(F.max("seq"), F.lit(0).cast("bigint"))).scalar()
     last_hash = log.select(F.coalesce(F.max_by("hash", "seq"), F.lit(rules.GENESIS))).scalar()
     numbered = dense_sequence(batch, order, "seq", start=last_seq + 1)
     if max_entries:
-        numbered = numbered.filter(F.col("seq") <= max_entries)
+        numbered = numbered.withColumn("seq", F.when(
+            F.col("seq") <= max_entries, F.col("seq")).otherwise(F.raise_error(F.lit(
+                f"the log is full: {max_entries} entries")).cast("bigint")))
     with_id = numbered.withColumn("id", F.substring(F.sha2(F.concat_ws(
         "|", F.col("seq").cast("string"), blank("action_id"), F.col("ts")), 256), 1, 16))
     names = ["seq", "id", *body_columns]
     texted = with_id.withColumn("body", canonical(with_id, names))
-    return chain(texted, "body", chunk, last_seq, last_hash)
+    if chunk is None:
+        return chain(texted, "body", 2**62, last_seq, last_hash)
+    # The entries of the log's last chunk, if it is not full.
+    opened = log.filter(_number("seq", chunk) == F.floor(last_seq / chunk)) \
+        .select("seq", "prev_hash", "body")
+    return chain(texted, "body", chunk, last_seq, last_hash, opened)
 
 
 def verify_chain(log: DataFrame, body: str | None = None, own_digest: str | None = None,
@@ -107,25 +145,32 @@ def verify_chain(log: DataFrame, body: str | None = None, own_digest: str | None
     """Chain state of every entry: (seq, link_ok, digest_ok).
 
     Every entry is checked against its predecessor by a join on the number before it, so a
-    log of any length is verified in parallel. Either ``body`` (digest = hash of previous
-    hash and body) or ``own_digest`` (a column that already holds the recomputed digest)
-    says how an entry's hash is formed. ``chunk=None`` is one unbroken chain.
+    log of any length is verified in parallel; numbers must begin at 1 and have neither gaps
+    nor repeats. Where a chunk begins, the link must follow from all entries before (see
+    ``chunk_starts``), for which ``body`` is needed. Either ``body`` (digest = hash of
+    previous hash and body) or ``own_digest`` (a column that already holds the recomputed
+    digest) says how an entry's hash is formed. ``chunk=None`` is one unbroken chain. Entries
+    missing at the very end leave no trace in any chain.
     """
-    previous = log.groupBy((F.col("seq") + 1).alias("seq")) \
+    before = log.groupBy((F.col("seq") + 1).alias("seq")) \
         .agg(F.min("hash").alias("_before"), F.max("hash").alias("_before_max"))
-    first_seq = log.select(F.min("seq")).scalar()
-    number = F.floor((F.col("seq") - 1) / (chunk or 1))
+    repeats = log.groupBy("seq").agg((F.count(F.lit(1)) > 1).alias("_repeated"))
+    checked = log.join(before, "seq", "left").join(repeats, "seq")
+    first = F.col("seq") == 1
+    follows = F.col("_before").isNotNull() & (F.col("_before") == F.col("_before_max"))
     if chunk is None:
-        starts, genesis = F.col("seq") == first_seq, F.lit(rules.GENESIS)
+        expected = F.when(first, F.lit(rules.GENESIS)).otherwise(F.col("_before"))
     else:
-        starts, genesis = (F.col("seq") - 1) % chunk == 0, chunk_genesis(number)
-    expected = F.when(starts, genesis).otherwise(F.col("_before"))
+        checked = checked.withColumn("_chunk", _number("seq", chunk)) \
+            .join(chunk_starts(log, body, chunk), "_chunk", "left")
+        expected = F.when((F.col("seq") - 1) % chunk == 0, F.col("_start")) \
+            .otherwise(F.col("_before"))
     recomputed = F.col(own_digest) if own_digest else digest(
         F.concat(F.col("prev_hash"), F.lit("\n"), F.col(body)))
-    unambiguous = starts | F.col("_before").eqNullSafe(F.col("_before_max"))
-    return log.join(previous, "seq", "left").select(
+    return checked.select(
         "seq",
-        (F.col("prev_hash").eqNullSafe(expected) & unambiguous).alias("link_ok"),
+        (F.col("prev_hash").eqNullSafe(expected) & (first | follows)
+         & ~F.col("_repeated")).alias("link_ok"),
         F.col("hash").eqNullSafe(recomputed).alias("digest_ok"))
 
 
@@ -184,7 +229,7 @@ def alias_drift(alias_file: DataFrame, replayed: DataFrame) -> DataFrame:
 
 def read_log(log: DataFrame, kind: str | None = None, ident: str | None = None,
              type: str | None = None, before_seq: int | None = None,
-             limit: int = 100) -> DataFrame:
+             limit: int | None = None) -> DataFrame:
     """Newest entries first, filtered."""
     rows = log
     if kind is not None:
@@ -193,7 +238,8 @@ def read_log(log: DataFrame, kind: str | None = None, ident: str | None = None,
         rows = rows.filter(F.col("type") == type)
     if before_seq is not None:
         rows = rows.filter(F.col("seq") < before_seq)
-    return rows.orderBy(F.desc("seq")).limit(limit)
+    rows = rows.orderBy(F.desc("seq"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def latest_per_action(log: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Decisions as batch jobs: one row is one proposed decision.
 
-Every proposal is judged against the same snapshot. The result of judging is what a preview
+Proposals are judged against one snapshot and, where they concern the same company or job, in
+their order: the first accepted one stands. The result of judging is what a preview
 shows; applying it only turns the accepted rows into mutations and log rows, so a preview
 cannot differ from its apply.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from licmatch import rules
 from licmatch.functions import dates, gates
@@ -89,6 +90,19 @@ def replay(proposals: DataFrame, log: DataFrame) -> DataFrame:
         .drop("_first")
 
 
+def _first_wins(judged: DataFrame, key: str, binding: Column, code: str, bad: Column,
+                rules_before: int) -> DataFrame:
+    """Of several accepted proposals for one key the first stands; a later one, where it is
+    ``binding``, gets ``code`` and the failed rule after the ``rules_before`` it passed."""
+    mine = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.max(F.col("code") == "").over(mine), F.lit(False))
+    late = (F.col("code") == "") & F.col("_taken") & binding
+    return judged.withColumn("_taken", taken).withColumns({
+        "validations": F.when(late, F.concat(F.slice("validations", 1, rules_before), F.array(bad)))
+        .otherwise(F.col("validations")),
+        "code": F.when(late, code).otherwise(F.col("code"))}).drop("_taken")
+
+
 # --- resolve company ----------------------------------------------------------------------
 
 def judge_resolutions(proposals: DataFrame, store: DataFrame, lookup: DataFrame,
@@ -135,8 +149,12 @@ def judge_resolutions(proposals: DataFrame, store: DataFrame, lookup: DataFrame,
               failed("not_an_agency", F.col("company"), overridable=True)) \
         .step(bad_reason, "rationale_required", reason_ok, keep=False)
     accepted = F.col("code") == ""
-    return joined.withColumn("code", steps.code()) \
-        .withColumn("validations", steps.validations()) \
+    judged = _first_wins(joined.withColumn("code", steps.code())
+                         .withColumn("validations", steps.validations()), "key",
+                         ~F.col("supersede"), "already_resolved",
+                         failed("not_already_resolved", F.lit("resolved earlier in the batch"),
+                                overridable=True), 2)
+    return judged \
         .withColumn("rating", F.when(accepted, F.col("_r")).otherwise("")) \
         .withColumn("rows_changed", F.when(accepted, F.col("_restamped")).otherwise(F.lit(0))) \
         .withColumn("shortlist_delta", F.when(accepted, F.col("_delta")).otherwise(F.lit(0))) \
@@ -192,8 +210,11 @@ def judge_applications(proposals: DataFrame, store: DataFrame, as_of) -> DataFra
               keep=False) \
         .step(F.col("_reason").isNotNull() & (override == ""), "ineligible", eligible,
               failed("eligible_to_apply", F.col("_reason"), overridable=True))
-    return joined.withColumn("code", steps.code()) \
-        .withColumn("validations", steps.validations()) \
+    judged = _first_wins(joined.withColumn("code", steps.code())
+                         .withColumn("validations", steps.validations()), "job_id",
+                         F.lit(True), "already_actioned",
+                         failed("not_already_actioned", F.lit("applied")), 1)
+    return judged \
         .withColumn("applied_on", F.when(F.col("code") == "", when).otherwise("")) \
         .withColumn("rows_changed", F.when(F.col("code") == "", 1).otherwise(0)) \
         .select(*proposals.columns, "code", "validations", "applied_on", "rows_changed")
@@ -213,33 +234,49 @@ def application_mutations(judged: DataFrame) -> DataFrame:
 # --- set status ---------------------------------------------------------------------------
 
 def judge_status_changes(proposals: DataFrame, store: DataFrame, as_of) -> DataFrame:
-    """Proposals (ord, job_id, status, note)."""
+    """Proposals (ord, job_id, status, note), judged one after another per job.
+
+    The status before a proposal is that of the last good proposal for the job, or the
+    store's. Dates and notes build on what the accepted ones before it left.
+    """
     before = F.when(gates.status_of() == "", rules.DEFAULT_STATUS).otherwise(gates.status_of())
     facts = store.select(
         F.col("id").alias("job_id"), F.col("title").alias("_title"),
-        before.alias("status_before"), strip("date_applied").alias("_applied"),
+        before.alias("_stored"), strip("date_applied").alias("_applied"),
         F.col("notes").alias("_notes"))
-    joined = proposals.join(facts, "job_id", "left")
     target = F.lower(strip("status"))
+    known = target.isin(*rules.STATUS_VOCAB)
+    # One job has few decisions in a batch.
+    earlier = Window.partitionBy("job_id").orderBy("ord") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("job_id").orderBy("ord") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = proposals.join(facts, "job_id", "left").withColumn(
+        "status_before", F.when(F.col("_stored").isNotNull(), F.coalesce(
+            F.last(F.when(known, target), ignorenulls=True).over(earlier), F.col("_stored"))))
     steps = _Rules() \
         .step(F.col("status_before").isNull(), "not_found",
               passed("job_exists", blank("_title")), keep=False) \
-        .step(~target.isin(*rules.STATUS_VOCAB), "unknown_status",
-              passed("status_known", target), keep=False) \
+        .step(~known, "unknown_status", passed("status_known", target), keep=False) \
         .step(F.col("status_before") == target, "already_actioned",
               passed("status_is_changing",
                      F.concat(F.col("status_before"), F.lit(" -> "), target)),
               failed("status_is_changing", target))
     today = dates.as_date(as_of)
     accepted = F.col("code") == ""
+    noted = accepted & (strip("note") != "")
+    applied_before = F.coalesce(F.max(accepted & (target == "applied")).over(earlier),
+                                F.lit(False))
+    notes = F.aggregate(
+        F.collect_list(F.when(noted, strip("note"))).over(so_far), blank("_notes"),
+        lambda text, note: append_note(text, note, today))
     return joined.withColumn("code", steps.code()) \
         .withColumn("validations", steps.validations()) \
         .withColumn("status_after", target) \
         .withColumn("new_date_applied", F.when(
-            accepted & (target == "applied") & (F.col("_applied") == ""),
+            accepted & (target == "applied") & (F.col("_applied") == "") & ~applied_before,
             today.cast("string"))) \
-        .withColumn("new_notes", F.when(accepted & (strip("note") != ""),
-                                        append_note("_notes", "note", today))) \
+        .withColumn("new_notes", F.when(noted, notes)) \
         .select(*proposals.columns, "code", "validations", "status_before", "status_after",
                 "new_date_applied", "new_notes")
 
@@ -310,11 +347,13 @@ def failed_writes(entries: DataFrame, reason: str = "store_locked") -> DataFrame
 
 def contact_status_changes(contacts: DataFrame, changes: DataFrame, as_of) -> DataFrame:
     """Contacts after status changes (id, status, note): vocabulary enforced, the first
-    'contacted' stamps its date, a note is appended with the day. Adds ``code`` per change
-    through ``judge_contact_changes``."""
+    'contacted' stamps its date, every note of the batch is appended with the day, in order.
+    ``judge_contact_changes`` has the code of each change. A batch holds the changes people
+    made to one contact, so collecting its notes is bounded."""
     ok = changes.filter(F.lower(strip("status")).isin(*rules.CONTACT_STATUSES))
     latest = ok.groupBy("id").agg(F.max_by(F.lower(strip("status")), "ord").alias("_status"),
-                                  F.max_by("note", "ord").alias("_note"),
+                                  F.array_sort(F.collect_list(F.struct("ord", "note")))
+                                  .alias("_notes"),
                                   F.max(F.lower(strip("status")) == "contacted")
                                   .alias("_touched"))
     today = dates.as_date(as_of)
@@ -322,7 +361,8 @@ def contact_status_changes(contacts: DataFrame, changes: DataFrame, as_of) -> Da
     return joined.withColumns({
         "contacted_on": F.when(F.col("_touched") & (blank("contacted_on") == ""),
                                today.cast("string")).otherwise(F.col("contacted_on")),
-        "notes": append_note("notes", "_note", today),
+        "notes": F.when(F.col("_notes").isNull(), F.col("notes")).otherwise(F.aggregate(
+            "_notes", blank("notes"), lambda text, n: append_note(text, n["note"], today))),
         "status": F.coalesce("_status", "status"),
     }).select(*contacts.columns)
 

@@ -15,10 +15,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1) -> Da
     return ranked.drop("_rn")
 
 
-def last_value(value: Column | str, order: Column | str) -> Column:
-    return F.max_by(value, order)
-
-
 def carry_forward(df: DataFrame, group: list[str], order: str, value: str, out: str,
                   chunk: int = 4096) -> DataFrame:
     """Last non-null ``value`` at or before each row, by an integer ``order``.
@@ -26,7 +22,7 @@ def carry_forward(df: DataFrame, group: list[str], order: str, value: str, out:
     A group of any length is cut into chunks of the order column: one window inside each
     chunk, one over the chunk ends. No task holds more than a chunk, or one row per chunk.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    cut = df.withColumn("_chunk", F.expr(f"cast(`{order}` as bigint) div {chunk}"))
     keys = [*group, "_chunk"]
     inside = Window.partitionBy(*keys).orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -49,7 +45,7 @@ def dense_sequence(df: DataFrame, order: str, out: str, start: Column | int = 1,
     one task holding everything: numbers inside chunks of the order column plus chunk
     offsets."""
     keys = [*within, "_chunk"]
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    cut = df.withColumn("_chunk", F.expr(f"cast(`{order}` as bigint) div {chunk}"))
     rows = cut.withColumn("_n", F.row_number().over(
         Window.partitionBy(*keys).orderBy(order)))
     # One row per chunk: the only step that needs a global order.

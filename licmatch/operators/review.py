@@ -1,7 +1,7 @@
 """The review queue: companies that may hold a licence under another name."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from licmatch.functions import gates
 from licmatch.functions.text import blank, normalize_name, strip
@@ -76,6 +76,24 @@ def queue_order() -> list:
             F.lower("company"), "company"]
 
 
+def numbered_queue(entries: DataFrame) -> DataFrame:
+    """Entries with their ``place`` in the queue.
+
+    Places are counted inside groups of equal priority, tiers and tech rows; only the groups,
+    one row each, are put in order by one task.
+    """
+    group = ["priority", "tier_count", "tech_rows"]
+    order = [F.desc(c) for c in group]
+    sizes = entries.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy(*order)
+                                 .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*group, F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy(F.lower("company"), "company"))
+    return entries.withColumn("_inside", inside).join(offsets, group) \
+        .withColumn("place", (F.col("_before") + F.col("_inside")).cast("bigint")) \
+        .drop("_before", "_inside")
+
+
 def review_queue(entries: DataFrame) -> DataFrame:
     """One item per normalised company, spellings merged.
 

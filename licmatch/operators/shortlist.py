@@ -160,16 +160,15 @@ def daily_shortlist(rows: DataFrame, rulings: DataFrame | None, as_of, top: int
                     subjects: DataFrame | None = None) -> DataFrame:
     """Ranked candidates of the day: gate, rulings, first listing, score, top N.
 
-    With ``verdicts`` a pool of three times N is checked, so that dropping dead postings
-    still leaves N.
+    With ``verdicts`` dead postings go before the top N is taken, so N are left while there
+    are N.
     """
     limit = age_limit(max_age, verdicts is not None)
     kept = survivors(rows, rulings, as_of, limit, include_agency, closures, subjects)
     ranked = scored(kept, as_of)
     order = [F.desc("score"), F.asc("ord")]
     if verdicts is not None:
-        pool = ranked.orderBy(*order).limit(max(top * 3, top))
-        ranked = attach_verdicts(pool, verdicts)
+        ranked = attach_verdicts(ranked, verdicts)
     return ranked.orderBy(*order).limit(top)
 
 

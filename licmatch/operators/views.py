@@ -77,14 +77,25 @@ def facets(jobs: DataFrame) -> DataFrame:
                        value.otherwise(None).alias("value"), "jobs")
 
 
-def job_page(jobs: DataFrame, sort: str = "score", limit: int = 50,
+def paged(rows: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of ordered rows; without a limit all of them from ``offset`` on."""
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
+
+
+def page_total(rows: DataFrame) -> DataFrame:
+    """One row: how many rows the pages of a filtered frame have together."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def job_page(jobs: DataFrame, sort: str = "score", limit: int | None = None,
              offset: int = 0) -> DataFrame:
-    """One page of filtered summaries (with ``ord`` as the last tie break)."""
+    """Filtered summaries in order (``ord`` is the last tie break), or one page of them."""
     if sort == "age":
         order = [F.col("age_days").isNull(), F.coalesce("age_days", F.lit(0)), "ord"]
     else:
         order = [F.desc("score"), F.lower("company"), "ord"]
-    return jobs.orderBy(*order).offset(offset).limit(limit)
+    return paged(jobs.orderBy(*order), limit, offset)
 
 
 def company_summary(rows: DataFrame, lookup: DataFrame, aliases: DataFrame,
@@ -107,13 +118,14 @@ def company_order() -> list:
     return [F.desc("jobs"), F.lower("company"), "company"]
 
 
-def filter_companies(companies: DataFrame, q: str = "",
-                     resolved: bool | None = None, limit: int = 200) -> DataFrame:
+def filter_companies(companies: DataFrame, q: str = "", resolved: bool | None = None,
+                     limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Matching companies in order; a page of them if the caller asks for one."""
     if q:
         companies = companies.filter(F.contains(F.lower("company"), F.lit(q.lower())))
     if resolved is not None:
         companies = companies.filter((F.col("resolution.method") != "none") == resolved)
-    return companies.orderBy(*company_order()).limit(limit)
+    return paged(companies.orderBy(*company_order()), limit, offset)
 
 
 def company_detail(rows: DataFrame, company: str, lookup: DataFrame, aliases: DataFrame,

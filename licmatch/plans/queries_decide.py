@@ -11,7 +11,7 @@ from licmatch.plans import relations as r
 from licmatch.plans.fixtures import AS_OF
 from licmatch.plans.registry import query
 from licmatch.sources import reports
-from licmatch.streaming import limiter, verdicts
+from licmatch.streaming import jobs, limiter, verdicts
 
 TODAY = AS_OF
 
@@ -29,7 +29,10 @@ _PROPOSALS = """
     FROM emp WHERE shape <> 'absent' OR c % 5 = 0"""
 
 _JUDGED = f"""
-    SELECT p.ord, p.company, {o.norm('p.company')} AS key, l.rating,
+    SELECT * REPLACE (CASE WHEN code = '' AND NOT supersede AND coalesce(max(code = '') OVER (
+        PARTITION BY key ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE)
+        THEN 'already_resolved' ELSE code END AS code)
+    FROM (SELECT p.ord, p.company, p.supersede, {o.norm('p.company')} AS key, l.rating,
            CASE WHEN s.n IS NULL THEN 'not_found'
                 WHEN l.key IS NULL THEN 'register_entry_not_found'
                 WHEN a.register_name <> p.register_name AND NOT p.supersede
@@ -46,7 +49,7 @@ _JUDGED = f"""
                           AND {o.disqualified(match="'yes'")} IS NULL) AS delta
                FROM exact_matched GROUP BY k) s ON s.k = {o.norm('p.company')}
     LEFT JOIN lk l ON l.key = {o.norm('p.register_name')}
-    LEFT JOIN al a ON a.key = {o.norm('p.company')}"""
+    LEFT JOIN al a ON a.key = {o.norm('p.company')}) w"""
 
 
 def _judged_resolutions(t):
@@ -176,11 +179,12 @@ def _(t):
 @query("d6_contact_status", """
     SELECT c.id, coalesce(u.status, c.status) AS status,
            CASE WHEN u.touched THEN '2024-02-01' ELSE '' END AS contacted_on,
-           CASE WHEN u.note IS NULL OR u.note = '' THEN '' ELSE '2024-02-01: ' || u.note END
-               AS notes
+           coalesce(u.notes, '') AS notes
     FROM (SELECT DISTINCT 'h' || (ord % 500) AS id, 'found' AS status FROM touches) c
     LEFT JOIN (SELECT 'h' || (ord % 700) AS id, arg_max(status, ord) AS status,
-                      arg_max(notes, ord) AS note, bool_or(status = 'contacted') AS touched
+                      string_agg('2024-02-01: ' || notes, chr(10) ORDER BY ord)
+                          FILTER (notes <> '') AS notes,
+                      bool_or(status = 'contacted') AS touched
                FROM touches WHERE ord % 3 = 0 GROUP BY 1) u ON u.id = c.id""")
 def _(t):
     contacts = t.sql("SELECT DISTINCT 'h' || CAST(ord % 500 AS STRING) AS id, 'found' AS "
@@ -209,20 +213,20 @@ def _(t):
 
 @query("st4_verdict_cache", """
     SELECT id, CASE WHEN dead THEN 'dead' WHEN live_at IS NOT NULL
-                     AND date_diff('second', live_at, TIMESTAMP '2024-01-20') < 259200
+                     AND date_diff('second', live_at, TIMESTAMP '2024-02-01') < 259200
                     THEN 'live' ELSE 'unknown' END AS verdict
     FROM (SELECT 'j' || (user_id * 7 + event_id % 9) AS id,
                  bool_or(event_type = 'error') AS dead,
                  max(ts) FILTER (event_type IN ('view', 'click')) AS live_at
-          FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1) v""")
+          FROM events GROUP BY 1) v""")
 def _(t):
-    probes = t.events.filter("ts < timestamp '2024-01-20'").select(
+    probes = t.events.select(
         F.concat(F.lit("j"), (F.col("user_id") * 7 + F.col("event_id") % 9)
                  .cast("string")).alias("id"),
         F.expr("CASE event_type WHEN 'error' THEN 'dead' WHEN 'view' THEN 'live' "
                "WHEN 'click' THEN 'live' ELSE 'unknown' END").alias("verdict"),
         F.col("ts").cast("timestamp").alias("checked"))
-    return verdicts.current(verdicts.fold(probes), "2024-01-20 00:00:00") \
+    return verdicts.current(verdicts.fold(probes), "2024-02-01 00:00:00") \
         .select("id", "verdict")
 
 
@@ -235,7 +239,8 @@ def _(t):
 
 @query("st6_rate_limiter", """
     WITH RECURSIVE h AS (
-        SELECT event_type AS key, epoch(ts) AS at_s, event_id AS ord FROM events),
+        SELECT event_type AS key, floor(epoch(ts) / 60) * 60 AS at_s, min(event_id) AS ord
+        FROM events GROUP BY ALL),
     a(key, at_s) AS (
         SELECT key, min(at_s) FROM h GROUP BY key
         UNION ALL
@@ -244,23 +249,23 @@ def _(t):
     SELECT h.key, h.ord FROM a JOIN h ON h.key = a.key AND h.at_s = a.at_s""")
 def _(t):
     hits = t.events.select(F.col("event_type").alias("key"),
-                           F.col("ts").cast("timestamp").cast("double").alias("at"),
+                           F.date_trunc("minute", F.col("ts").cast("timestamp"))
+                           .cast("double").alias("at"),
                            F.col("event_id").alias("ord"))
     return limiter.admitted(hits, limit=1, window=600.0).select("key", "ord")
 
 
 @query("st8_board_health", """
-    SELECT ats, company, arg_max(CASE WHEN http_status = 404 THEN 'not_found'
-                                      ELSE 'active' END, ord) AS outcome
+    SELECT ats, company AS slug, arg_max(CASE WHEN http_status = 404 THEN 'not_found'
+                                         ELSE 'active' END, ord) AS outcome
     FROM fetches WHERE http_status <> 503 GROUP BY 1, 2""")
 def _(t):
-    from licmatch.sources import feeds
-    outcomes = feeds.fetch_outcomes(t.fetches).filter("outcome <> 'transient'")
-    return outcomes.groupBy("ats", "company").agg(
-        F.max_by("outcome", "ord").alias("outcome"))
+    return jobs.board_health(t.fetches.withColumn("slug", F.col("company")))
 
 
 @query("st_daily_decisions", """
     SELECT day, type, count(*) AS decisions FROM dlog GROUP BY 1, 2""")
 def _(t):
-    return t.dlog.groupBy("day", "type").agg(F.count(F.lit(1)).alias("decisions"))
+    counted = jobs.daily_decisions(t.dlog.withColumn("at", F.to_timestamp("day")), "at")
+    return counted.select(F.col("window.start").cast("date").cast("string").alias("day"), "type",
+                          "decisions")

@@ -171,9 +171,9 @@ def _(t):
 
 
 @query("j14_company_variants", f"""
-    SELECT id, company FROM postings WHERE {o.norm('company')} = 'DOVETAIL1 ROBOTICS'""")
+    SELECT id, company FROM postings WHERE {o.norm('company')} = 'OTTOLINE1 ENGINES'""")
 def _(t):
-    return st.company_rows(t.postings, "The Dovetail1 Robotics Ltd").select("id", "company")
+    return st.company_rows(t.postings, "The Ottoline1 Engines Ltd").select("id", "company")
 
 
 @query("j15_undo_exclusion", """
@@ -240,9 +240,9 @@ def _(t):
 
 
 @query("j21_company_contacts", """
-    SELECT ord, name FROM touches WHERE lower(trim(company)) = 'meridian analytics'""")
+    SELECT ord, name FROM touches WHERE lower(trim(company)) = 'saltmarsh metrics'""")
 def _(t):
-    return people.contacts_of(t.touches, " Meridian Analytics ").select("ord", "name")
+    return people.contacts_of(t.touches, " Saltmarsh Metrics ").select("ord", "name")
 
 
 @query("j22_flagged_suggestions", """
@@ -267,13 +267,13 @@ def _(t):
 @query("j24_source_groups", """
     SELECT source, count(*) AS items FROM (
         SELECT 'saved' AS source FROM touches
-        UNION ALL SELECT 'person' FROM emp WHERE c < 150 AND name IN (SELECT company FROM
+        UNION ALL SELECT 'person' FROM emp WHERE name IN (SELECT company FROM
                          touches)
         UNION ALL SELECT CASE WHEN n < 9 THEN 'people-search' ELSE 'web-search' END
                   FROM (SELECT DISTINCT company FROM touches) c, range(18) g(n)) x
     GROUP BY source""")
 def _(t):
-    found = t.emp.filter("c < 150").select(F.col("name").alias("company"),
+    found = t.emp.select(F.col("name").alias("company"),
                                            F.col("tok").alias("login"),
                                            F.lit("").alias("url"))
     groups = people.source_groups(t.touches.select("company"), found, t.touches)
@@ -617,6 +617,34 @@ def _(t):
     return audit.chain_report(audit.verify_chain(sealed, body="body"))
 
 
+def _deleted(t, gone):
+    body = audit.canonical(t.dlog, ["seq", "type", "company"])
+    sealed = audit.chain(t.dlog.withColumn("body", body))
+    return audit.chain_report(audit.verify_chain(sealed.filter(~F.expr(gone)), body="body"))
+
+
+def _deleted_sql(gone: str, first: str) -> str:
+    return (f"SELECT FALSE AS chain_ok, {first} AS broken_at_seq, count(*) AS count "
+            f"FROM dlog WHERE NOT ({gone})")
+
+
+@query("w9_chain_deleted_chunk",
+       _deleted_sql("seq BETWEEN 257 AND 512", "min(seq) FILTER (seq > 512)"))
+def _(t):
+    return _deleted(t, "seq BETWEEN 257 AND 512")
+
+
+@query("w9_chain_deleted_tail_of_chunk",
+       _deleted_sql("seq BETWEEN 200 AND 256", "min(seq) FILTER (seq > 256)"))
+def _(t):
+    return _deleted(t, "seq BETWEEN 200 AND 256")
+
+
+@query("w9_chain_gap", _deleted_sql("seq BETWEEN 300 AND 310", "min(seq) FILTER (seq > 310)"))
+def _(t):
+    return _deleted(t, "seq BETWEEN 300 AND 310")
+
+
 @query("w10_sequence", """
     SELECT ord, row_number() OVER (ORDER BY ord) + 7 AS seq FROM postings""")
 def _(t):
@@ -678,7 +706,7 @@ def _(t):
                 SELECT *, row_number() OVER (PARTITION BY tkey, ckey ORDER BY ord) AS listing
                 FROM (SELECT * EXCLUDE (gate), {o.disqualified()} AS gate FROM gated) g
                 WHERE gate IS NULL AND coalesce(verdict, '') <> 'CUT' AND NOT is_ag) z
-              WHERE listing = 1 ORDER BY score DESC, ord LIMIT 60) f
+              WHERE listing = 1) f
         LEFT JOIN ({_VERDICTS}) v ON v.id = f.id) y
     WHERE coalesce(liveness, '') <> 'dead' ORDER BY score DESC, ord LIMIT 20""")
 def _(t):
@@ -692,7 +720,8 @@ def _(t):
     ORDER BY score DESC, lower(company), ord LIMIT 50 OFFSET 100""")
 def _(t):
     jobs = views.job_summary(r.matched(t), TODAY, "ord")
-    return views.job_page(views.filter_jobs(jobs, eligible=True), offset=100) \
+    return views.job_page(views.filter_jobs(jobs, eligible=True), limit=50,
+                          offset=100) \
         .select("id", "score")
 
 
@@ -704,13 +733,10 @@ def _(t):
 
 @query("q6_review_order", """
     SELECT row_number() OVER (ORDER BY ntech = 0, tcount DESC, ntech DESC, lower(company),
-                              company) AS place, company FROM cands QUALIFY place <= 40""")
+                              company) AS place, company FROM cands""")
 def _(t):
-    from pyspark.sql import Window
     entries = review.review_candidates(r.exact_matched(t), r.lookup(t), t.aliases)
-    top = entries.orderBy(*review.queue_order()).limit(40)
-    place = F.row_number().over(Window.orderBy(*review.queue_order()))
-    return top.select(place.alias("place"), "company")
+    return review.numbered_queue(entries).select("place", "company")
 
 
 @query("q7_people_order", f"""
@@ -733,11 +759,11 @@ def _(t):
 @query("q9_contacts_due", f"""
     SELECT ord, days FROM (SELECT ord, {_DAYS} AS days FROM touches
                            WHERE status = 'contacted') x WHERE days >= 4
-    ORDER BY days DESC, ord LIMIT 30""")
+    ORDER BY days DESC, ord""")
 def _(t):
     contacts = t.touches.withColumn("contacted_on", F.col("day"))
     return people.due_contacts(contacts, "2024-02-01").orderBy(F.desc("days"), "ord") \
-        .limit(30).select("ord", "days")
+        .select("ord", "days")
 
 
 # --- set operations -----------------------------------------------------------------------------

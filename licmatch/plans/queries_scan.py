@@ -216,16 +216,23 @@ def _(t):
 
 
 @query("s17_log_append", """
-    SELECT seq + (SELECT max(seq) FROM dlog) AS seq, 'n' || id AS source_id, TRUE AS linked
-    FROM dlog WHERE seq % 4 <> 9""")
-def _(t):
-    base = t.dlog.select("seq", F.sha2("id", 256).alias("hash"))
-    batch = t.dlog.select(F.col("seq").alias("ord"), F.concat(F.lit("n"), "id")
-                          .alias("source_id"), "action_id", F.col("day").alias("ts"), "type")
-    new = audit.append(base, batch, ["action_id", "ts", "type"])
-    linked = F.length("hash") == 71
-    return new.select("seq", "source_id", (linked & (F.length("prev_hash") >= 64))
-                      .alias("linked"))
+    SELECT count(*) AS entries, max(n) AS last_seq,
+           list_reduce(list_prepend('sha256:' || sha256('last'), list(body ORDER BY n)),
+                       lambda h, x: 'sha256:' || sha256(h || chr(10) || x)) AS last_hash
+    FROM (SELECT n, '{"action_id":"' || action_id || '","id":"'
+                 || substring(sha256(n || '|' || action_id || '|' || day), 1, 16)
+                 || '","seq":' || n || ',"ts":"' || day || '","type":"' || type || '"}' AS body
+          FROM (SELECT (SELECT max(seq) FROM dlog) + seq AS n, action_id, day, type
+                FROM dlog) b) e""")
+def _(t):
+    end = t.dlog.agg(F.max("seq").alias("seq"))
+    base = end.select("seq", F.lit("").alias("prev_hash"),
+                      audit.digest(F.lit("last")).alias("hash"), F.lit("").alias("body"))
+    batch = t.dlog.select(F.col("seq").alias("ord"), "action_id", F.col("day").alias("ts"),
+                          "type")
+    return audit.append(base, batch, ["action_id", "ts", "type"], chunk=None).agg(
+        F.count(F.lit(1)).alias("entries"), F.max("seq").alias("last_seq"),
+        F.max_by("hash", "seq").alias("last_hash"))
 
 
 _REPORT = f"""
@@ -795,15 +802,15 @@ def _(t):
 
 @query("p37_company_detail", """
     SELECT 'job' AS part, id AS item, disqualified_reason AS detail FROM summaries
-    WHERE trim(company) = 'Northwind1 Systems'
+    WHERE trim(company) = 'Tarnbrook1 Foundry'
     UNION ALL SELECT 'suggestion', candidate, CASE rule WHEN 0 THEN 'prefix'
-                     ELSE 'trading-as' END FROM top3 WHERE key = 'NORTHWIND1 SYSTEMS'
+                     ELSE 'trading-as' END FROM top3 WHERE key = 'TARNBROOK1 FOUNDRY'
     UNION ALL SELECT 'summary', company, CAST(jobs AS VARCHAR) FROM companies
-              WHERE company = 'Northwind1 Systems'
+              WHERE company = 'Tarnbrook1 Foundry'
     UNION ALL SELECT 'trail', id, type FROM (SELECT * FROM dlog
-              WHERE upper(company) = 'NORTHWIND1 SYSTEMS' ORDER BY seq DESC LIMIT 20) d""")
+              WHERE upper(company) = 'TARNBROOK1 FOUNDRY' ORDER BY seq DESC LIMIT 20) d""")
 def _(t):
-    parts = views.company_detail(r.matched(t), "Northwind1 Systems", r.lookup(t), t.aliases,
+    parts = views.company_detail(r.matched(t), "Tarnbrook1 Foundry", r.lookup(t), t.aliases,
                                  t.boards, t.rejections, r.log(t), TODAY)
     return parts["jobs"].select(F.lit("job").alias("part"), F.col("id").alias("item"),
                                 F.col("disqualified_reason").alias("detail")) \
@@ -914,14 +921,11 @@ def _(t):
 
 
 @query("f14_company_filter", """
-    SELECT company, jobs FROM (SELECT c.company, c.jobs, row_number() OVER (
-        ORDER BY c.jobs DESC, lower(c.company), c.company) AS rn
-        FROM companies c JOIN resolved x ON x.key = c.key
-        WHERE contains(lower(c.company), 'cobalt') AND x.method <> 'none') z
-    WHERE rn <= 200""")
+    SELECT c.company, c.jobs FROM companies c JOIN resolved x ON x.key = c.key
+    WHERE contains(lower(c.company), 'pumice') AND x.method <> 'none'""")
 def _(t):
     companies = views.company_summary(r.matched(t), r.lookup(t), t.aliases, t.boards)
-    return views.filter_companies(companies, q="Cobalt", resolved=True) \
+    return views.filter_companies(companies, q="Pumice", resolved=True) \
         .select("company", "jobs")
 
 
@@ -951,11 +955,9 @@ def _(t):
 @query("f17_rationale_rule", """
     SELECT doc_id, length(trim(x)) BETWEEN 10 AND 500 AS ok,
            length(trim(x)) || ' chars' AS detail
-    FROM (SELECT doc_id, substring(regexp_replace(text, '\\s', 'a', 'g'), 1,
-                 CAST(doc_id % 600 AS INT)) AS x FROM documents) d""")
+    FROM (SELECT doc_id, regexp_replace(text, '[\\s]', 'a', 'g') AS x FROM documents) d""")
 def _(t):
-    reason = F.substring(F.regexp_replace("text", "\\s", "a"), F.lit(1),
-                         (F.col("doc_id") % 600).cast("int"))
+    reason = F.regexp_replace("text", "\\s", "a")
     failing, good = decisions.rationale_check(reason)
     return t.documents.select("doc_id", (~failing).alias("ok"), good["detail"].alias("detail"))
 
@@ -971,9 +973,9 @@ def _(t):
 
 @query("f19_point_lookup", f"""
     SELECT id, company FROM postings
-    WHERE {o.norm('company')} = 'COBALT1 ANALYTICS' OR id = '9990000001'""")
+    WHERE {o.norm('company')} = 'PUMICE1 METRICS' OR id = '9990000001'""")
 def _(t):
-    by_key = views.company_by_key(t.postings, "Cobalt1 Analytics")
+    by_key = views.company_by_key(t.postings, "Pumice1 Metrics")
     by_id = views.job_by_id(t.postings, "9990000001")
     return by_key.unionByName(by_id).select("id", "company").distinct()
 

@@ -1,9 +1,7 @@
 """Session settings the operators are tuned for."""
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Skew is expected on company, title and token keys. AQE splits an oversized join
 # partition and, with the force flag, does so even when that costs one more shuffle.
@@ -28,18 +26,3 @@ def build_session(app_name: str = "licmatch", **overrides: str) -> SparkSession:
     for key, value in {**SETTINGS, **overrides}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut a frame's lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder comes from ``spark.checkpoint.dir``. Only a session that names none (a local
-    test) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="licmatch-ck-"))
-    return df.checkpoint(eager=True)
-

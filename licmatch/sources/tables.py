@@ -79,13 +79,19 @@ def active_boards(boards: DataFrame, family: str | None = None,
 
 
 def merge_outcomes(boards: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
-    """Fetch outcomes (ats, slug, outcome, note) onto the registry; transient ones change
-    nothing, and only a board that answered gets a new last_ok."""
-    real = outcomes.filter(F.col("outcome") != "transient") \
-        .select("ats", "slug", F.col("outcome").alias("_outcome"),
-                blank("note").alias("_note"))
+    """Fetch outcomes (ats, slug, outcome, note, ord) onto the registry; transient ones change
+    nothing, and only a board that answered gets a new last_ok.
+
+    Of several outcomes of one board the last real one counts, and its last note; the board
+    has answered if any of them did.
+    """
+    order = "ord" if "ord" in outcomes.columns else F.lit(0)
+    real = outcomes.filter(F.col("outcome") != "transient").groupBy("ats", "slug").agg(
+        F.max_by("outcome", order).alias("_outcome"),
+        F.max_by(blank("note"), F.when(blank("note") != "", order)).alias("_note"),
+        F.bool_or(F.col("outcome").isin("active", "empty")).alias("_answered"))
     joined = boards.join(real, ["ats", "slug"], "left")
-    answered = F.col("_outcome").isin("active", "empty")
+    answered = F.coalesce("_answered", F.lit(False))
     return joined.withColumns({
         "status": F.coalesce("_outcome", "status"),
         "last_ok": F.when(answered, F.lit(str(as_of))).otherwise(F.col("last_ok")),

@@ -121,9 +121,14 @@ def limit_stream(hits: DataFrame, limit: int,
                  window: float = rules.RATE_WINDOW_SECONDS) -> DataFrame:
     """Streaming form of the accepted-only limiter over hits(key, at, ord).
 
-    The state of a key is the list of admitted times inside the window, at most ``limit``.
+    The state of a key is the list of admitted times inside the window, at most ``limit``; it is
+    dropped when the key has been idle for as long as the window by the clock. The hits of a key
+    within one micro-batch are ordered in memory, so the batch size bounds it.
     """
     def admit(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "ord"])
         keep = []
@@ -134,7 +139,8 @@ def limit_stream(hits: DataFrame, limit: int,
                 recent.append(at)
             keep.append(allowed)
         state.update((recent,))
+        state.setTimeoutDuration(max(1, int(window * 1000)))
         yield rows[keep]
 
     return hits.groupBy("key").applyInPandasWithState(
-        admit, hits.schema, "recent array<double>", "append", "NoTimeout")
+        admit, hits.schema, "recent array<double>", "append", "ProcessingTimeTimeout")

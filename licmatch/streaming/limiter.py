@@ -21,14 +21,16 @@ _BUCKET_SECONDS = 3600
 def segments(hits: DataFrame, window: float) -> DataFrame:
     """Add ``segment``: the time the hit's independent segment started, per key.
 
-    Gaps are found inside hour buckets plus one lookup of the bucket before, so no task has
-    to walk the whole history of a busy key.
+    Gaps lie between distinct times, so hits that share a time share a segment. They are found
+    inside hour buckets plus one lookup of the bucket before, so no task has to walk the whole
+    history of a busy key.
     """
-    bucketed = hits.withColumn("_bucket", F.floor(F.col("at") / _BUCKET_SECONDS))
+    bucketed = hits.select("key", "at").distinct() \
+        .withColumn("_bucket", F.floor(F.col("at") / _BUCKET_SECONDS))
     ends = bucketed.groupBy("key", "_bucket").agg(F.max("at").alias("_last"))
     before = Window.partitionBy("key").orderBy("_bucket")
     earlier = ends.select("key", "_bucket", F.lag("_last").over(before).alias("_earlier"))
-    inside = Window.partitionBy("key", "_bucket").orderBy("at", "ord")
+    inside = Window.partitionBy("key", "_bucket").orderBy("at")
     marked = bucketed.withColumn("_prev", F.lag("at").over(inside)) \
         .join(earlier, ["key", "_bucket"]) \
         .withColumn("_prev", F.coalesce("_prev", "_earlier")) \
@@ -38,7 +40,8 @@ def segments(hits: DataFrame, window: float) -> DataFrame:
         .withColumn("_pos", F.col("at"))
     carried = carry_forward(marked, ["key"], "_pos", "_start", "segment",
                             chunk=_BUCKET_SECONDS)
-    return carried.select(*hits.columns, "segment")
+    return hits.join(carried.select("key", "at", "segment"), ["key", "at"]) \
+        .select(*hits.columns, "segment")
 
 
 def _admit(limit: int, window: float):
@@ -63,7 +66,9 @@ def admitted(hits: DataFrame, limit: int, window: float = rules.RATE_WINDOW_SECO
              ) -> DataFrame:
     """The admitted rows of hits(key, at, ord); ``at`` is in seconds.
 
-    Sorted partitions are streamed through with at most ``limit`` times in memory.
+    Sorted partitions are streamed through with at most ``limit`` times in memory. A segment is
+    sequential by its rule (whether a hit counts depends on all before it), so a key that never
+    pauses longer than the window is walked by one task; its memory does not grow.
     """
     ordered = segments(hits, window).repartition("key", "segment") \
         .sortWithinPartitions("key", "segment", "at", "ord")

@@ -2,6 +2,8 @@
 import datetime as dt
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from licmatch import rules
@@ -159,8 +161,24 @@ def test_chain_links_and_tampering(spark):
     forged = log.withColumn("body", F.when(F.col("seq") == 13, "x").otherwise(F.col("body")))
     assert tuple(report(forged)) == (False, 13, 25)
     assert tuple(report(log.filter("seq <> 7"))) == (False, 8, 24)
-    heads = audit.chain(audit.chain_heads(log, 10), chunk=10)
-    assert heads.count() == 3
+    assert tuple(report(log.filter("seq <= 10 or seq > 20"))) == (False, 21, 15)
+    assert tuple(report(log.filter("seq <= 7 or seq > 10"))) == (False, 11, 22)
+    assert tuple(report(log.filter("seq > 10"))) == (False, 11, 15)
+    assert tuple(report(log.unionByName(log.filter("seq = 4")))) == (False, 4, 26)
+    # Whoever deletes a chunk and numbers the rest anew cannot make the next start fit.
+    moved = log.filter("seq <= 10").unionByName(
+        log.filter("seq > 20").withColumn("seq", F.col("seq") - 10))
+    assert tuple(report(moved)) == (False, 11, 15)
+
+
+def test_unbroken_chain_can_be_continued(spark):
+    log = sealed(spark, 7, 2**62)
+    batch = spark.createDataFrame([(1, "a", "t"), (2, "b", "t")],
+                                  "ord bigint, action_id string, ts string")
+    new = audit.append(log, batch, ["action_id", "ts"], chunk=None)
+    whole = log.unionByName(new.select(*log.columns))
+    report = audit.chain_report(audit.verify_chain(whole, body="body", chunk=None)).first()
+    assert tuple(report) == (True, None, 9)
 
 
 def test_append_continues_an_open_chunk(spark):
@@ -175,8 +193,11 @@ def test_append_continues_an_open_chunk(spark):
     assert rows[2]["prev_hash"] == rows[1]["hash"]
     whole = log.unionByName(new.select(*log.columns))
     assert audit.chain_report(audit.verify_chain(whole, body="body", chunk=10)).first()[0]
-    capped = audit.append(log, batch, ["action_id"], max_entries=6, chunk=10)
-    assert capped.count() == 1
+    grown = audit.append(whole, batch.withColumn("ord", F.col("ord") + 100),
+                         ["action_id", "ts", "type"], chunk=4)
+    assert grown.count() == 3
+    with pytest.raises(Exception, match="the log is full"):
+        audit.append(log, batch, ["action_id"], max_entries=6, chunk=10).collect()
 
 
 def test_replay_and_undo(spark):
@@ -265,3 +286,25 @@ def test_follow_ups_report_unknown_dates(spark):
     found = [(r["id"], r["days"]) for r in views.follow_ups(rows, TODAY).collect()]
     assert found == [("1", 13), ("2", None)]
     assert dt.date.fromisoformat(TODAY) > dt.date(2026, 8, 1)
+
+
+def test_later_decisions_of_a_batch_see_the_earlier_ones(spark):
+    store = postings(spark, posting(1, title="Graduate Developer", location="London"),
+                     posting(2, status="new", notes=""))
+    moves = spark.createDataFrame(
+        [(1, "2", "screening", "first"), (2, "2", "screening", "again"), (3, "2", "applied", ""),
+         (4, "2", "applied", "x"), (5, "2", "closed", "last")],
+        "ord int, job_id string, status string, note string")
+    judged = decisions.judge_status_changes(moves, store, TODAY)
+    rows = {r["ord"]: r for r in judged.collect()}
+    assert [rows[k]["code"] for k in range(1, 6)] == ["", "already_actioned", "",
+                                                      "already_actioned", ""]
+    assert rows[5]["new_notes"] == f"{TODAY}: first\n{TODAY}: last"
+    assert rows[3]["new_date_applied"] == str(TODAY) and rows[5]["status_before"] == "applied"
+    twice = spark.createDataFrame(
+        [(1, "1", "company site", "", "", "they asked"), (2, "1", "company site", "", "", "ok")],
+        "ord int, job_id string, applied_via string, date_applied string, notes string, "
+        "override_reason string")
+    found = {r["ord"]: r["code"] for r in
+             decisions.judge_applications(twice, store, TODAY).collect()}
+    assert found == {1: "", 2: "already_actioned"}

@@ -6,6 +6,8 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from licmatch.operators import ingest
 from licmatch.sources import feeds
 from licmatch.streaming import jobs, limiter, verdicts
@@ -175,6 +177,25 @@ def test_limiter_equals_a_plain_walk(spark):
         assert found == plain_limiter(hits, limit, 60.0)
 
 
+def tied_hits():
+    rng = random.Random(4)
+    return [(rng.choice("ab"), float(rng.choice([0, 30, 60, 61, 200]) + 400 * rng.randrange(6)), i)
+            for i in range(400)]
+
+
+@pytest.mark.parametrize("limit", [1, 3, 30])
+def test_limiter_with_equal_times(spark, folder, limit):
+    hits = tied_hits()
+    want = plain_limiter(hits, limit, 60.0)
+    for parts in (1, 5):
+        frame = spark.createDataFrame(hits, "key string, at double, ord int").repartition(parts)
+        assert {r["ord"] for r in limiter.admitted(frame, limit, 60.0).collect()} == want
+    path, columns = write_rows(spark, folder, "ties", hits, "key string, at double, ord int", 1)
+    stream = spark.readStream.schema(columns).json(path)
+    found = memory(jobs.limit_stream(stream, limit, 60.0), f"ties{limit}", "append")
+    assert {r["ord"] for r in found.collect()} == want
+
+
 def test_limiter_stream(spark, folder):
     hits = random_hits()
     path, columns = write_rows(spark, folder, "hits", hits, "key string, at double, ord int",
