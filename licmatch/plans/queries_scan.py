@@ -933,7 +933,8 @@ def _(t):
     SELECT seq, id FROM dlog WHERE type = 'alias.confirm' AND seq < 5000
     ORDER BY seq DESC LIMIT 100""")
 def _(t):
-    return audit.read_log(r.log(t), type="alias.confirm", before_seq=5000).select("seq", "id")
+    return audit.read_log(r.log(t), type="alias.confirm", before_seq=5000, limit=100) \
+        .select("seq", "id")
 
 
 _ASKS = " || ' ' || ".join(
