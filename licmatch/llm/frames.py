@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -51,19 +52,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    A finished query is referred to until its last event has been handled, hence the pause.
+    """
+    gc.collect()
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there.
 
-    Losing an executor afterwards costs a re-read, never the work before. The shuffle files of
-    that work are of no use any more; a collection on the driver lets Spark drop them.
+    Losing an executor afterwards costs a re-read, never the work before.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     df.write.parquet(folder)
     staged = spark.read.schema(df.schema).parquet(folder)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return staged
 
 

@@ -258,9 +258,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     windows = stage(window_table(bodies, width)
                     .select("doc_id", "version", F.arrays_zip("start", "h1", "h2").alias("w"))
                     .selectExpr("doc_id", "version", "inline(w)"))
-    first = (windows.groupBy("h1", "h2")
-             .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-             .where("lo < hi").select("h1", "h2", "lo"))
+    first = stage(windows.groupBy("h1", "h2")
+                  .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                  .where("lo < hi").select("h1", "h2", "lo"))
     removed = stage(windows.join(first, ["h1", "h2"]).where("doc_id > lo")
                     .groupBy("doc_id", "version").agg(F.collect_set("start").alias("removed")))
     # Repeated rows of one doc_id and text give equal results.
