@@ -112,13 +112,35 @@ def chain(entries: DataFrame, body: str = "body", chunk: int = CHAIN_CHUNK,
     return entries.join(links, "seq")
 
 
+def _fold(rows: DataFrame, body: str, start: Column) -> DataFrame:
+    """(seq, prev_hash, hash) of a hash chain over ``rows`` in the order of ``seq``.
+
+    Every hash needs the one before, so one task reads all rows; it holds one batch of them and
+    the last hash, and the sort before it spills.
+    """
+    def fold(batches):
+        last = None
+        for rows in batches:
+            before, after = [], []
+            for text, begin in zip(rows["_body"], rows["_begin"]):
+                last = begin if last is None else last
+                before.append(last)
+                last = "sha256:" + hashlib.sha256(f"{last}\n{text}".encode()).hexdigest()
+                after.append(last)
+            yield pd.DataFrame({"seq": rows["seq"], "prev_hash": before, "hash": after})
+    return rows.select(F.col("seq").cast("bigint").alias("seq"), F.col(body).alias("_body"),
+                       start.alias("_begin")) \
+        .repartition(1).sortWithinPartitions("seq") \
+        .mapInPandas(fold, "seq bigint, prev_hash string, hash string")
+
+
 def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str = "ord",
            max_entries: int = 0, chunk: int | None = CHAIN_CHUNK) -> DataFrame:
     """Number and chain a batch behind the log (seq, prev_hash, hash, body); the result is what
     gets appended.
 
     ``chunk=None`` continues an unbroken chain: the batch is folded by one task, since every
-    hash needs the one before. With ``max_entries`` a batch that would pass the cap is refused
+    hash needs the one before; that task holds one batch of entries at a time. With ``max_entries`` a batch that would pass the cap is refused
     with an error: no decision is left out.
     """
     last_seq = log.select(F.coalesce(F.max("seq"), F.lit(0).cast("bigint"))).scalar()
@@ -133,7 +155,7 @@ def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str
     names = ["seq", "id", *body_columns]
     texted = with_id.withColumn("body", canonical(with_id, names))
     if chunk is None:
-        return chain(texted, "body", 2**62, last_seq, last_hash)
+        return texted.join(_fold(texted, "body", last_hash), "seq")
     # The entries of the log's last chunk, if it is not full.
     opened = log.filter(_number("seq", chunk) == F.floor(last_seq / chunk)) \
         .select("seq", "prev_hash", "body")

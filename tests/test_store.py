@@ -181,6 +181,23 @@ def test_unbroken_chain_can_be_continued(spark):
     assert tuple(report) == (True, None, 9)
 
 
+def test_long_unbroken_chain_in_bounded_rows(spark):
+    log = spark.createDataFrame([(1, "", "x", "")], "seq long, prev_hash string, hash string, "
+                                "body string")
+    batch = spark.range(1, 30001).select(F.col("id").alias("ord"), F.lit("a").alias("action_id"),
+                                         F.lit("t").alias("ts"))
+    new = audit.append(log, batch, ["action_id", "ts"], chunk=None)
+    # No row of the plan holds the entries of the chain.
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    last, rows = "x", new.orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(2, 30002))
+    for r in rows:
+        assert r["prev_hash"] == last
+        last = "sha256:" + hashlib.sha256((last + "\n" + r["body"]).encode()).hexdigest()
+        assert r["hash"] == last
+
+
 def test_append_continues_an_open_chunk(spark):
     log = sealed(spark, 5, 10)
     batch = spark.createDataFrame([(70, "a", "t", "x"), (90, "b", "t", "x"), (80, "c", "t",
