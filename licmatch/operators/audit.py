@@ -140,8 +140,9 @@ def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str
     gets appended.
 
     ``chunk=None`` continues an unbroken chain: the batch is folded by one task, since every
-    hash needs the one before; that task holds one batch of entries at a time. With ``max_entries`` a batch that would pass the cap is refused
-    with an error: no decision is left out.
+    hash needs the one before; that task holds one batch of entries at a time. With
+    ``max_entries`` a batch that would pass the cap is refused with an error: no decision is
+    left out.
     """
     last_seq = log.select(F.coalesce(F.max("seq"), F.lit(0).cast("bigint"))).scalar()
     last_hash = log.select(F.coalesce(F.max_by("hash", "seq"), F.lit(rules.GENESIS))).scalar()
