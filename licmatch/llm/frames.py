@@ -76,6 +76,15 @@ def stage(df: DataFrame) -> DataFrame:
     return staged
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing will read any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).delete(path, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as links (a, b): the least node reachable.
 

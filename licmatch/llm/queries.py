@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from licmatch.llm import (bpe, line_dedup, minhash, mixture, ngram_join, pii, recompression,
-                          repetition, secret_ledger, toxicity)
+from licmatch.llm import (bpe, centroids, host_paths, line_dedup, minhash, mixture, ngram_join,
+                          periodic_runs, pii, recompression, repetition, secret_ledger, toxicity)
 from licmatch.llm.frames import read_documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,18 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_secret_ledger")
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secrets(read_documents(spark, sf_dir))
+
+
+@query("op11_centroids", centroids.ORACLE)
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read_documents(spark, sf_dir), planted=True)
+
+
+@query("op13_host_paths")
+def op13_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
