@@ -10,7 +10,9 @@ from pyspark.sql.types import StringType
 
 from licmatch import rules
 from licmatch.functions.text import blank
+from licmatch.operators import hash_tree
 from licmatch.operators.frames import dense_sequence
+from licmatch.sources.staging import staged
 
 CHAIN_CHUNK = 256
 
@@ -45,52 +47,57 @@ def _number(seq: str, chunk: int) -> Column:
     return F.expr(f"(cast(`{seq}` as bigint) - 1) div {chunk}")
 
 
-def chunk_starts(bodies: DataFrame, body: str, chunk: int, start: Column | None = None
+def chunk_digests(bodies: DataFrame, body: str, chunk: int) -> DataFrame:
+    """(node, digest, entries) per chunk: the digest of its bodies' digests in order."""
+    return bodies.select("seq", F.sha2(F.col(body), 256).alias("_digest")) \
+        .groupBy(_number("seq", chunk).alias("node")).agg(F.sha2(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("seq", "_digest"))),
+            lambda e: e["_digest"]), ""), 256).alias("digest"),
+            F.count(F.lit(1)).alias("entries"))
+
+
+def chunk_starts(bodies: DataFrame, body: str, chunk: int, edge: DataFrame | None = None
                  ) -> DataFrame:
     """(_chunk, _start): the link that each chunk of a log begins with.
 
-    A chunk's digest is that of its bodies' digests in order. The start of the next chunk is
-    the digest of this chunk's start and digest, so it depends on every entry before it. The
-    chunks' digests are made in parallel; the chain over them, one row per ``chunk`` entries,
-    is folded by one task. ``start`` is the start of the first chunk given (the genesis).
+    It comes from the hash tree over the chunks' digests, so it depends on every entry before
+    it; ``edge`` stands for the chunks left of those given (see ``hash_tree``). The digests, one
+    row per ``chunk`` entries, are staged: every level of the tree reads them.
     """
-    digests = bodies.select("seq", F.sha2(F.col(body), 256).alias("_digest")) \
-        .groupBy(_number("seq", chunk).alias("_chunk")).agg(F.sha2(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", "_digest"))),
-            lambda e: e["_digest"]), ""), 256).alias("_digest"))
-    if start is None:
-        start = F.lit(rules.GENESIS)
-    ordered = digests.agg(F.array_sort(F.collect_list(F.struct("_chunk", "_digest")))
-                          .alias("_chunks")).withColumn("_first", start)
-    begin = F.array(F.struct(F.element_at("_chunks", 1)["_chunk"].alias("_chunk"),
-                             F.col("_first").alias("_start")))
-
-    def extend(done: Column, one: Column) -> Column:
-        return F.concat(done, F.array(F.struct(
-            (one["_chunk"] + 1).alias("_chunk"),
-            digest(F.concat(F.element_at(done, -1)["_start"], F.lit("\n"), one["_digest"]))
-            .alias("_start"))))
-    return ordered.filter(F.size("_chunks") > 0) \
-        .select(F.inline(F.aggregate("_chunks", begin, extend)))
+    leaves = staged(chunk_digests(bodies, body, chunk))
+    depth = hash_tree.depth_for(leaves.agg(F.max("node")).first()[0])
+    return hash_tree.starts(leaves, depth, edge).select(
+        F.col("node").alias("_chunk"), F.col("start").alias("_start"))
+
+
+def log_edge(log: DataFrame, body: str = "body", chunk: int = CHAIN_CHUNK,
+             edge: DataFrame | None = None) -> DataFrame:
+    """Right edge of the tree over the full chunks of a log: a fold per level.
+
+    With ``edge``, the log given only holds entries from the first chunk after that edge on.
+    """
+    full = staged(chunk_digests(log, body, chunk).filter(F.col("entries") == chunk))
+    last = full.agg(F.max("node")).first()[0]
+    if last is None:
+        return staged(hash_tree.right_edge(full, 1) if edge is None
+                      else edge.select("level", "parent", "fold"))
+    return staged(hash_tree.right_edge(full, hash_tree.depth_for(last + 1), edge))
 
 
 def chain(entries: DataFrame, body: str = "body", chunk: int = CHAIN_CHUNK,
           last_seq: Column | None = None, last_hash: Column | None = None,
-          open_chunk: DataFrame | None = None) -> DataFrame:
+          open_chunk: DataFrame | None = None, edge: DataFrame | None = None) -> DataFrame:
     """Add prev_hash and hash to entries that carry ``seq`` and their canonical ``body``.
 
     A hash chain is sequential, so it is cut into chunks of consecutive numbers that are
     folded in parallel from the starts of ``chunk_starts``. ``last_seq`` and ``last_hash``
-    continue a log; ``open_chunk`` then has (seq, prev_hash, body) of the entries of its last
-    chunk.
+    continue a log; ``open_chunk`` then has (seq, body) of the entries of its last, unfinished
+    chunk and ``edge`` stands for the chunks before it.
     """
     known = entries.select("seq", F.col(body).alias("_body"))
-    start = None
     if open_chunk is not None:
         known = known.unionByName(open_chunk.select("seq", F.col("body").alias("_body")))
-        start = F.coalesce(open_chunk.select(F.min_by("prev_hash", "seq")).scalar(),
-                           F.lit(rules.GENESIS))
-    starts = chunk_starts(known, "_body", chunk, start)
+    starts = chunk_starts(known, "_body", chunk, edge)
     grouped = entries.withColumn("_chunk", _number("seq", chunk)).groupBy("_chunk").agg(
         F.min("seq").alias("_from"),
         F.array_sort(F.collect_list(F.struct("seq", F.col(body).alias("body"))))
@@ -135,10 +142,14 @@ def _fold(rows: DataFrame, body: str, start: Column) -> DataFrame:
 
 
 def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str = "ord",
-           max_entries: int = 0, chunk: int | None = CHAIN_CHUNK) -> DataFrame:
+           max_entries: int = 0, chunk: int | None = CHAIN_CHUNK,
+           edge: DataFrame | None = None) -> DataFrame:
     """Number and chain a batch behind the log (seq, prev_hash, hash, body); the result is what
     gets appended.
 
+    Of the log only its last entry, its unfinished chunk and ``edge`` (``log_edge``, worked out
+    from the log where it is not given) are read.
+
     ``chunk=None`` continues an unbroken chain: the batch is folded by one task, since every
     hash needs the one before; that task holds one batch of entries at a time. With
     ``max_entries`` a batch that would pass the cap is refused with an error: no decision is
@@ -159,8 +170,10 @@ def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str
         return texted.join(_fold(texted, "body", last_hash), "seq")
     # The entries of the log's last chunk, if it is not full.
     opened = log.filter(_number("seq", chunk) == F.floor(last_seq / chunk)) \
-        .select("seq", "prev_hash", "body")
-    return chain(texted, "body", chunk, last_seq, last_hash, opened)
+        .select("seq", "body")
+    if edge is None:
+        edge = log_edge(log, "body", chunk)
+    return chain(texted, "body", chunk, last_seq, last_hash, opened, edge)
 
 
 def verify_chain(log: DataFrame, body: str | None = None, own_digest: str | None = None,
@@ -206,6 +219,25 @@ def chain_report(states: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
+def verify_log(log: DataFrame, body: str | None = None, own_digest: str | None = None,
+               chunk: int | None = CHAIN_CHUNK, alias_file: DataFrame | None = None,
+               replayed: DataFrame | None = None) -> DataFrame:
+    """One row on the whole log: the chain report, how many aliases of the file drift from the
+    log or are unknown to it, and whether the projection matches.
+
+    ``alias_drift`` lists those aliases; a file may have any number, so they stay rows.
+    """
+    drift = unattributed = F.lit(0).cast("bigint")
+    if alias_file is not None:
+        found = alias_drift(alias_file, replayed)
+        drift, unattributed = [found.filter(F.col("finding") == kind)
+                               .select(F.count(F.lit(1))).scalar()
+                               for kind in ("drift", "unattributed")]
+    return chain_report(verify_chain(log, body, own_digest, chunk)) \
+        .withColumn("drift", drift).withColumn("unattributed", unattributed) \
+        .withColumn("projection_matches_log", F.col("drift") == 0)
+
+
 def flatten_log(log: DataFrame) -> DataFrame:
     """The columns replay needs, from structured entries."""
     return log.select(

@@ -216,11 +216,15 @@ def apply_shortlist(rows: DataFrame, order: str = "ord") -> DataFrame:
     return best_twins(ready, order).orderBy(london, salary, "first_ord")
 
 
-def store_order(rows: DataFrame, order: str = "ord") -> DataFrame:
+def store_keys(order: str = "ord") -> list[Column]:
     """Confirmed first, then London, then salary."""
     london, salary = _london_then_salary()
-    confirmed = F.when(blank("sponsor_match") == "yes", 0).otherwise(1)
-    return rows.orderBy(confirmed, london, salary, order)
+    return [F.when(blank("sponsor_match") == "yes", 0).otherwise(1), london, salary,
+            F.col(order)]
+
+
+def store_order(rows: DataFrame, order: str = "ord") -> DataFrame:
+    return rows.orderBy(*store_keys(order))
 
 
 def top_by_salary(rows: DataFrame, n: int = 5, order: str = "ord") -> DataFrame:

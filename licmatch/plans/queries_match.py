@@ -15,6 +15,7 @@ from licmatch.plans import relations as r
 from licmatch.plans.fixtures import AS_OF
 from licmatch.plans.queries_scan import _BIO, _bios, _signal_sql
 from licmatch.plans.registry import query
+from licmatch.sources.staging import staged
 
 TODAY = AS_OF
 _STAMP = ["ord", "sponsor_match", "sponsor_rating", "sponsor_route"]
@@ -598,12 +599,17 @@ def _(t):
     return ingest.capped(kept, 25).select("id")
 
 
+def _sealed(t):
+    """The decision log as it is stored: sealed once, then read by the verification."""
+    body = audit.canonical(t.dlog, ["seq", "type", "company"])
+    return staged(audit.chain(t.dlog.select("seq", body.alias("body"))))
+
+
 @query("w9_chain_verify", """
     SELECT FALSE AS chain_ok, min(seq) FILTER (seq % 1000 = 777) AS broken_at_seq,
            count(*) AS count FROM dlog""")
 def _(t):
-    body = audit.canonical(t.dlog, ["seq", "type", "company"])
-    sealed = audit.chain(t.dlog.withColumn("body", body))
+    sealed = _sealed(t)
     tampered = sealed.withColumn("body", F.when(F.col("seq") % 1000 == 777, "forged")
                                  .otherwise(F.col("body")))
     return audit.chain_report(audit.verify_chain(tampered, body="body"))
@@ -612,15 +618,11 @@ def _(t):
 @query("w9_chain_intact", "SELECT TRUE AS chain_ok, NULL::BIGINT AS broken_at_seq, "
                           "count(*) AS count FROM dlog")
 def _(t):
-    body = audit.canonical(t.dlog, ["seq", "type", "company"])
-    sealed = audit.chain(t.dlog.withColumn("body", body))
-    return audit.chain_report(audit.verify_chain(sealed, body="body"))
+    return audit.chain_report(audit.verify_chain(_sealed(t), body="body"))
 
 
 def _deleted(t, gone):
-    body = audit.canonical(t.dlog, ["seq", "type", "company"])
-    sealed = audit.chain(t.dlog.withColumn("body", body))
-    return audit.chain_report(audit.verify_chain(sealed.filter(~F.expr(gone)), body="body"))
+    return audit.chain_report(audit.verify_chain(_sealed(t).filter(~F.expr(gone)), body="body"))
 
 
 def _deleted_sql(gone: str, first: str) -> str:

@@ -156,14 +156,7 @@ def _(t):
                               {o.LONDON}, -salary_max, ord) AS place, id
     FROM matched""")
 def _(t):
-    from licmatch.operators.frames import dense_sequence
-    # The written order as positions, numbered without one task seeing every row.
-    rows = r.matched(t).select(
-        "id", "ord", F.when(F.col("sponsor_match") == "yes", 0).otherwise(1).alias("_yes"),
-        F.when(gates.is_london(), 0).otherwise(1).alias("_london"),
-        (-tx.as_int("salary_max")).alias("_salary"))
-    return dense_sequence(rows, "ord", "place", within=("_yes", "_london", "_salary")) \
-        .select("place", "id")
+    return tables.numbered_snapshot(r.matched(t)).select("place", "id")
 
 
 @query("s13_shortlist_view", """

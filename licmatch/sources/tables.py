@@ -10,8 +10,8 @@ from licmatch import rules, schema
 from licmatch.functions.text import blank, normalize_name, strip
 from licmatch.operators import store as st
 from licmatch.operators.audit import flatten_log
-from licmatch.operators.frames import first_per_key
-from licmatch.operators.shortlist import apply_shortlist, store_order
+from licmatch.operators.frames import first_per_key, number_by_range
+from licmatch.operators.shortlist import apply_shortlist, store_keys, store_order
 
 BOARD_FIELDS = schema.BOARD.fieldNames()
 
@@ -199,6 +199,14 @@ def write_snapshot(rows: DataFrame, root: str, version: str | None = None) -> st
     return path
 
 
+def numbered_snapshot(rows: DataFrame, order: str = "ord") -> DataFrame:
+    """Id and ``place`` of every row in the order of a snapshot, from 1."""
+    keys = store_keys(order)
+    slim = rows.select("id", *[key.alias(f"_key{i}") for i, key in enumerate(keys)])
+    return number_by_range(slim, [f"_key{i}" for i in range(len(keys))], "place") \
+        .select("place", "id")
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The newest complete version (Spark writes _SUCCESS last)."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -1,7 +1,8 @@
 """Structured Streaming jobs over fetch logs, verdict probes and proposed actions.
 
-Writes happen in foreachBatch, one folder per micro-batch. A batch that is run again after
-a failure reads only the folders before it and replaces its own, so results do not change.
+Writes happen in foreachBatch, each micro-batch being one delta of a table that merges on
+read (``sources.delta_store``) and compacts itself. A batch that is run again after a failure
+finds its number in the manifest, so results do not change.
 """
 from __future__ import annotations
 
@@ -16,9 +17,11 @@ from pyspark.sql.types import StructType
 from licmatch import rules, schema
 from licmatch.operators import ingest as ing
 from licmatch.operators import store as st
-from licmatch.operators.licence import match_board_rows
+from licmatch.operators.licence import match_board_rows, match_companies
 from licmatch.schema import struct
 from licmatch.sources import feeds
+from licmatch.sources.delta_store import DeltaStore
+from licmatch.sources.staging import staged, staging
 from licmatch.sources.tables import append_new
 from licmatch.streaming import verdicts
 
@@ -26,6 +29,8 @@ STREAM_FETCH = struct(*[(f.name, f.dataType) for f in schema.FETCH_LOG],
                       ("company", schema.S), ("ord", schema.L))
 STORED = struct(*[(f.name, f.dataType) for f in schema.POSTING], ("ord", schema.L))
 LATENESS = "10 minutes"
+#: Deltas after which a stream compacts its table.
+COMPACT_AFTER = 16
 
 
 def read_fetches(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -48,26 +53,96 @@ def read_batches(spark: SparkSession, root: str, columns: StructType,
     return rows.drop("batch")
 
 
+def posting_store(spark: SparkSession, root: str) -> DeltaStore:
+    return DeltaStore(spark, f"{root}/store", STORED)
+
+
+def closure_store(spark: SparkSession, root: str) -> DeltaStore:
+    return DeltaStore(spark, f"{root}/closed", schema.CLOSURE)
+
+
+def tidy(table: DeltaStore, deltas: int) -> None:
+    """Compact a table that has collected so many deltas; readers keep the version before."""
+    if len(table.manifest()["deltas"]) >= deltas:
+        table.compact()
+        table.vacuum(keep=2)
+
+
+def upsert_stream(rows: DataFrame, root: str, checkpoint: str,
+                  compact_after: int = COMPACT_AFTER) -> StreamingQuery:
+    """Insert-only upsert of posting rows: each micro-batch is one delta of the store."""
+    def each(batch: DataFrame, number: int) -> None:
+        table = posting_store(batch.sparkSession, root)
+        table.insert(batch, batch=number, stream=checkpoint)
+        tidy(table, compact_after)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start()
+
+
+def close_absent(seen: DataFrame, fetched_boards: DataFrame, root: str, as_of, number: int,
+                 stream: str) -> None:
+    """Add the closures of one micro-batch: tracked postings that its boards list no more."""
+    spark = seen.sparkSession
+    tracked, table = posting_store(spark, root).read(), closure_store(spark, root)
+    gone = st.closures(tracked, seen, fetched_boards, table.keys(), as_of)
+    table.write(puts=gone, batch=number, stream=stream)
+
+
+def closure_stream(listings: DataFrame, root: str, checkpoint: str, as_of,
+                   compact_after: int = COMPACT_AFTER) -> StreamingQuery:
+    """Closure by absence over listings (ats, company, id), one row per listed posting.
+
+    A board that lists nothing sends one row without an id. All rows of a board come in one
+    micro-batch.
+    """
+    def each(batch: DataFrame, number: int) -> None:
+        close_absent(batch.filter(F.col("id").isNotNull()),
+                     batch.select("ats", "company").distinct(), root, as_of, number, checkpoint)
+        tidy(closure_store(batch.sparkSession, root), compact_after)
+
+    return listings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start()
+
+
+def matching_stream(rows: DataFrame, root: str, checkpoint: str,
+                    lookup: Callable[[], DataFrame], aliases: Callable[[], DataFrame],
+                    compact_after: int = COMPACT_AFTER) -> StreamingQuery:
+    """Postings matched as they come; overlay and register are read in every micro-batch."""
+    def each(batch: DataFrame, number: int) -> None:
+        table = posting_store(batch.sparkSession, root)
+        table.insert(match_companies(batch, lookup(), aliases()), batch=number,
+                     stream=checkpoint)
+        tidy(table, compact_after)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start()
+
+
 def ingest_stream(fetches: DataFrame, root: str, checkpoint: str, as_of,
                   boards: Callable[[], DataFrame], lookup: Callable[[], DataFrame],
-                  aliases: Callable[[], DataFrame]) -> StreamingQuery:
+                  aliases: Callable[[], DataFrame], compact_after: int = COMPACT_AFTER
+                  ) -> StreamingQuery:
     """Poll results to new postings and closures.
 
     ``boards``, ``lookup`` and ``aliases`` are called in every micro-batch, so an overlay
     that changed on disk is picked up without a restart. A fetch that failed closes nothing.
+    Payloads are parsed once a micro-batch.
     """
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        judged = feeds.fetch_outcomes(batch)
-        answered = judged.filter(F.col("outcome").isin("active", "empty"))
-        rows = feeds.board_rows(answered, as_of)
-        tracked = read_batches(spark, f"{root}/store", STORED, number)
-        closed = read_batches(spark, f"{root}/closed", schema.CLOSURE, number)
-        kept = ing.judged(rows, tracked, as_of).filter(F.col("drop_reason").isNull())
-        matched = match_board_rows(kept.drop("drop_reason"), boards(), lookup(), aliases())
-        append_new(st.insert_only(tracked, matched), f"{root}/store", number)
-        gone = st.closures(tracked, rows, answered.select("ats", "company"), closed, as_of)
-        append_new(gone, f"{root}/closed", number)
+        postings, closed = posting_store(spark, root), closure_store(spark, root)
+        with staging(spark) as folder:
+            judged = staged(feeds.fetch_outcomes(batch).filter(
+                F.col("outcome").isin("active", "empty")), f"{folder}/fetches")
+            rows = staged(feeds.board_rows(judged, as_of), f"{folder}/rows")
+            kept = ing.judged(rows, postings.keys(), as_of).filter(
+                F.col("drop_reason").isNull())
+            postings.insert(match_board_rows(kept.drop("drop_reason"), boards(), lookup(),
+                                             aliases()), batch=number, stream=checkpoint)
+            close_absent(rows, judged.select("ats", "company"), root, as_of, number, checkpoint)
+        tidy(postings, compact_after)
+        tidy(closed, compact_after)
 
     return fetches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

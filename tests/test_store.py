@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from licmatch import rules
-from licmatch.operators import audit, decisions, frames, ingest, people
+from licmatch.operators import audit, decisions, frames, hash_tree, ingest, people
 from licmatch.operators import store as st
 from licmatch.operators import views
 from tests.test_sources import posting, postings
@@ -325,3 +325,134 @@ def test_later_decisions_of_a_batch_see_the_earlier_ones(spark):
     found = {r["ord"]: r["code"] for r in
              decisions.judge_applications(twice, store, TODAY).collect()}
     assert found == {1: "", 2: "already_actioned"}
+
+
+def test_numbers_by_range_with_hot_ties(spark):
+    rows = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"),
+        F.col("id").alias("v"))
+    got = frames.number_by_range(rows.repartition(5), ["k"], "n", start=11, partitions=16)
+    found = got.orderBy("n").collect()
+    assert [r["n"] for r in found] == list(range(11, 6011))
+    assert [r["k"] for r in found] == sorted(r["k"] for r in found)
+    assert {r["v"] for r in found} == set(range(6000))
+    # The hot value is dealt out over several partitions, so no task holds a third of the rows.
+    placed = frames.staged(rows.repartitionByRange(16, "k", F.xxhash64("k", "v")))
+    assert max(r["count"] for r in placed.groupBy(F.input_file_name().alias("f")).count()
+               .collect()) < 1500
+    assert frames.number_by_range(rows.limit(0), ["k"], "n").count() == 0
+    repeated = spark.createDataFrame([(1,), (1,), (None,), (0,)], "k int")
+    assert sorted((r["n"], r["k"]) for r in frames.number_by_range(
+        repeated, ["k"], "n").collect()) == [(1, None), (2, 0), (3, 1), (4, 1)]
+
+
+def test_dense_sequence_over_far_numbers(spark):
+    far = [0, 5, 2 ** 20, 2 ** 33, 2 ** 33 + 1, 2 ** 50, 2 ** 62]
+    frame = spark.createDataFrame([(v,) for v in far], "id bigint")
+    found = {r["id"]: r["n"] for r in
+             frames.dense_sequence(frame, "id", "n", chunk=16).collect()}
+    assert found == {v: i + 1 for i, v in enumerate(far)}
+
+
+def in_order(digests, fan=hash_tree.FAN):
+    """Starts of all leaves by one walk from left to right over the whole tree."""
+    def fold(items):
+        text = ""
+        for item in items:
+            text = hashlib.sha256((text + item).encode()).hexdigest()
+        return text
+
+    nodes, levels = list(digests), []
+    while True:
+        levels.append(nodes)
+        if len(nodes) == 1:
+            break
+        nodes = [fold(nodes[i:i + fan]) for i in range(0, len(nodes), fan)]
+    starts = [rules.GENESIS]
+    for below in reversed(levels[:-1]):
+        out = []
+        for i in range(len(below)):
+            before, start = fold(below[i - i % fan:i]), starts[i // fan]
+            out.append("sha256:" + hashlib.sha256(f"{start}\n{before}".encode()).hexdigest()
+                       if before else start)
+        starts = out
+    return starts
+
+
+def test_hash_tree_starts(spark):
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(700)]
+    leaves = spark.createDataFrame(list(enumerate(digests)), "node bigint, digest string")
+    want = dict(enumerate(in_order(digests)))
+    assert dict(map(tuple, hash_tree.starts(leaves).collect())) == want
+    # The number of levels changes no start; rows beyond it are an error.
+    assert dict(map(tuple, hash_tree.starts(leaves, depth=2).collect())) == want
+    with pytest.raises(Exception, match="more than 256"):
+        hash_tree.starts(leaves, depth=1).collect()
+    # Every digest before a leaf counts for its start, none after it.
+    other = leaves.withColumn("digest", F.when(F.col("node") == 300, "x")
+                              .otherwise(F.col("digest")))
+    changed = {n for n, s in map(tuple, hash_tree.starts(other).collect()) if want[n] != s}
+    assert changed == set(range(301, 700))
+
+
+@pytest.mark.parametrize("cut", [255, 512, 699])
+def test_hash_tree_goes_on_from_its_right_edge(spark, cut):
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(700)]
+    leaves = spark.createDataFrame(list(enumerate(digests)), "node bigint, digest string")
+    want = dict(enumerate(in_order(digests)))
+    edge = hash_tree.right_edge(leaves.filter(F.col("node") < cut))
+    assert edge.count() <= hash_tree.DEPTH
+    later = hash_tree.starts(leaves.filter(F.col("node") >= cut), edge=edge)
+    assert dict(map(tuple, later.collect())) == {n: want[n] for n in range(cut, 700)}
+    grown = hash_tree.right_edge(leaves.filter(F.col("node") >= cut), edge=edge)
+    assert set(map(tuple, grown.collect())) == set(
+        map(tuple, hash_tree.right_edge(leaves).collect()))
+
+
+def test_a_million_chunk_digests(spark):
+    leaves = spark.range(10 ** 6).select(F.col("id").alias("node"), F.sha2(
+        F.col("id").cast("string"), 256).alias("digest"))
+    starts = hash_tree.starts(leaves)
+    row = starts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("start").alias("d")).first()
+    assert tuple(row) == (10 ** 6, 10 ** 6)
+
+
+def test_chain_plans_collect_by_key_only(spark):
+    log = sealed(spark, 1000, 10)
+    plan = audit.verify_chain(log, body="body", chunk=10)._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    collects = [line for line in plan.splitlines() if "collect_list" in line]
+    assert collects and all("Aggregate [" in line and "Aggregate [collect_list" not in line
+                            and "Aggregate [array" not in line for line in collects)
+
+
+def test_append_needs_the_open_chunk_and_the_edge_only(spark):
+    ask = spark.range(1, 1201).select(F.col("id").alias("ord"), F.lit("a").alias("action_id"),
+                                      F.lit("t").alias("ts"))
+    none = sealed(spark, 0, 4)
+    whole = frames.staged(audit.append(none, ask, ["action_id", "ts"], chunk=4)
+                          .select("seq", "prev_hash", "hash", "body"))
+    assert audit.chain_report(audit.verify_chain(whole, body="body", chunk=4)).first()[0]
+    want = {r["seq"]: r["hash"] for r in whole.collect()}
+    for cut in (4, 1030):
+        before = whole.filter(F.col("seq") <= cut)
+        edge = audit.log_edge(before, chunk=4)
+        tail = before.filter(F.col("seq") > cut - cut % 4 - 1)  # the rest of the log is not read
+        new = audit.append(tail, ask.filter(F.col("ord") > cut), ["action_id", "ts"], chunk=4,
+                           edge=edge)
+        assert {r["seq"]: r["hash"] for r in new.collect()} == {
+            n: h for n, h in want.items() if n > cut}, cut
+        grown = audit.log_edge(whole.filter(F.col("seq") > cut - cut % 4), chunk=4, edge=edge)
+        assert set(map(tuple, grown.collect())) == set(
+            map(tuple, audit.log_edge(whole, chunk=4).collect()))
+
+
+def test_verify_log_in_one_row(spark):
+    log = sealed(spark, 9, 4)
+    live = spark.createDataFrame([("B", "X"), ("C", "Y"), ("D", "Z")],
+                                 "company string, register_name string")
+    disk = spark.createDataFrame([("B", "OTHER"), ("C", "Y"), ("E", "Q")],
+                                 "company string, register_name string")
+    row = audit.verify_log(log, "body", chunk=4, alias_file=disk, replayed=live).first()
+    assert tuple(row) == (True, None, 9, 2, 1, False)
+    assert tuple(audit.verify_log(log, "body", chunk=4).first()) == (True, None, 9, 0, 0, True)

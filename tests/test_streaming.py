@@ -76,15 +76,16 @@ def test_ingest_stream(spark, folder):
                                  lambda: lookup, aliases))
     run("ck")
     assert len(calls) == 2
-    stored = jobs.read_batches(spark, os.path.join(folder, "store"), jobs.STORED)
+    stored = jobs.posting_store(spark, folder).read()
     found = {r["id"]: r["sponsor_match"] for r in stored.collect()}
     assert found == {"gh:7343996": "yes", "gh:99": "yes", "lever:8f3c": "no",
                      "ashby:5f1c": "yes"}
-    closed = jobs.read_batches(spark, os.path.join(folder, "closed"), jobs.schema.CLOSURE)
+    closed = jobs.closure_store(spark, folder).read()
     assert [r["id"] for r in closed.collect()] == ["gh:99"]
-    # Every batch run again from the start replaces its own folder: nothing changes.
+    # Every batch run again from the start finds its postings there: nothing changes.
     run("ck-again")
-    again = jobs.read_batches(spark, os.path.join(folder, "store"), jobs.STORED)
+    again = jobs.posting_store(spark, folder).read()
+    assert [r["id"] for r in jobs.closure_store(spark, folder).read().collect()] == ["gh:99"]
     assert sorted(r["id"] for r in again.collect()) == sorted(found)
     # The batch twin over the same fetches keeps the same postings.
     log = spark.read.schema(jobs.STREAM_FETCH).json(path)
