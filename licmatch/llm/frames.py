@@ -47,8 +47,9 @@ def public_id(name: str = "doc_id"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps checkpoints; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="licmatch-")
+    """A new folder where the cluster keeps checkpoints, in the warehouse where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

@@ -26,7 +26,7 @@ RULES = [
                r"""[A-Za-z0-9+/_.=-]++""", None),
     ("access", r"AKIA[A-Z0-9]{16,}+", "AKIA"),
     ("hex", r"[0-9a-f]{24,}+", None),
-    ("pem", r"-----BEGIN (?:[A-Z]++ )*?PRIVATE KEY-----", "PRIVATE KEY-----"),
+    ("pem", r"-----BEGIN [A-Z ]*+(?<= PRIVATE KEY)-----", "PRIVATE KEY-----"),
 ]
 KINDS = [kind for kind, _, _ in RULES]
 BASE = ["assign", "access", "hex"]
@@ -81,11 +81,15 @@ def update(docs: DataFrame, ledger: str) -> DataFrame:
 
 
 def read(spark, ledger: str) -> DataFrame:
-    """The ledger's rows of the present rules; an absent ledger is empty."""
+    """The ledger's rows of the present rules, one per blob; an absent ledger is empty.
+
+    A blob may be in the ledger twice, from two writers or a batch that was run again.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == rules_version())
+    return spark.read.schema(LEDGER).parquet(ledger).where(
+        F.col("rules") == rules_version()).dropDuplicates(["blob"])
 
 
 def secrets(docs: DataFrame, ledger: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _MARK, _OTHER = "\u0001", "\u0002"
+#: Matches put together at once.
+BLOCK = 128
 SPANS = "array<struct<start:int,kind:int,end:int,body:string,left:string,right:string>>"
 
 
@@ -39,9 +41,17 @@ def spans(cut: str, kind: int, context: int = 0) -> Column:
                         F.left(at(2 * k + 1), F.lit(context)).alias("right"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
+    def block(state, b):
+        """The matches of one block; a growing array is copied per block, not per match."""
+        begin = F.struct(state["at"].alias("at"), none().alias("found"))
+        inner = F.aggregate(F.sequence(BLOCK * b + 1, F.least(BLOCK * (b + 1), count)), begin, step)
+        return F.struct(inner["at"].alias("at"), F.concat(state["found"], inner["found"])
+                        .alias("found"))
+
     begin = F.struct(F.lit(0).alias("at"), none().alias("found"))
     count = F.expr(f"cast((size(`{cut}`) - 1) / 2 as int)")
-    found = F.aggregate(F.sequence(F.lit(1), count), begin, step, lambda s: s["found"])
+    blocks = F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))
+    found = F.aggregate(blocks, begin, block, lambda s: s["found"])
     return F.when(F.size(cut) > 1, found).otherwise(none())
 
 

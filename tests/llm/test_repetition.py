@@ -46,7 +46,7 @@ def test_periodic_text():
 
 def test_table_rows(frame, prose):
     rows = ODD_ROWS + [(20, prose(1, 200)), (21, prose(2, 40)), (22, (prose(3, 30) + " ") * 8),
-                       (23, prose(4, 200) + "\n" + prose(5, 60) + "\n" + prose(5, 60))]
+                       (23, prose(4, 200) + "\n" + prose(5, 90) + "\n" + prose(5, 90))]
     got = {r.doc_id: r for r in repetition.quality_table(frame(rows)).collect()}
     assert repetition.quality_table(frame(rows)).count() == len(rows)
     assert got[20].kept and not got[20].base_failed

@@ -94,6 +94,36 @@ def test_odd_rows_and_long_texts(frame):
         assert operator(frame([])).count() == 0
 
 
+def test_long_key_header(frame):
+    """A header of thousands of words, which a recursive pattern would overflow on."""
+    rows = [(1, "-----BEGIN " + "A " * 20_000 + "PRIVATE KEY-----"),
+            (2, "-----BEGIN PRIVATE KEY-----"), (3, "-----BEGIN " + "B " * 20_000),
+            (4, "x -----BEGIN RSA PRIVATE KEY----- y"), (5, "-----BEGIN XPRIVATE KEY-----")]
+    got = {r.doc_id: r.spans for r in secret_ledger.secrets(frame(rows)).collect()}
+    assert got == {1: f"pem:0:{11 + 40_000 + 16}", 2: "pem:0:27", 3: "", 4: "pem:2:33", 5: ""}
+
+
+def test_many_matches_in_one_text(frame):
+    """The time follows the number of matches, not its square."""
+    rows = [(1, "jo@a.co " * 40_000), (2, "token=abcdef1 " * 30_000)]
+    found = pii.personal_data(frame(rows)).collect()
+    assert {r.doc_id: r.n_email for r in found} == {1: 40_000, 2: 0}
+    spans = {r.doc_id: r.spans for r in found}[1].split(",")
+    assert spans[0] == "email:0:7" and spans[-1] == f"email:{8 * 39_999}:{8 * 39_999 + 7}"
+    found = secret_ledger.secrets(frame(rows)).collect()
+    assert {r.doc_id: r.n_assign for r in found} == {1: 0, 2: 30_000}
+
+
+def test_ledger_with_a_blob_twice(spark, frame):
+    ledger = tempfile.mkdtemp(prefix="licmatch-test-") + "/ledger"
+    rows = [(1, "token = abcdef1"), (2, "plain")]
+    secret_ledger.secrets(frame(rows), ledger).collect()
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-copy")
+    spark.read.parquet(ledger + "-copy").write.mode("append").parquet(ledger)
+    got = secret_ledger.secrets(frame(rows), ledger).collect()
+    assert {r.doc_id: r.n_assign for r in got} == {1: 1, 2: 0} and len(got) == 2
+
+
 def test_estimates_recover_reliabilities():
     r = np.random.default_rng(5)
     truth = r.random(20000) < 0.4
