@@ -116,3 +116,14 @@ def mixed_date(value: Column | str) -> Column:
     text = strip(value)
     return F.when(text.rlike(r"^-?\d{5,}(\.\d+)?$"), epoch_date(text)) \
         .otherwise(feed_date(text))
+
+
+def json_date(value: Column | str) -> Column:
+    """Date text of any JSON value: numbers are epochs, texts are read as dates (digits alone are
+    none), and nothing else is a date."""
+    value = col(value)
+    kind = F.schema_of_variant(value)
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return F.when(number, epoch_date(F.try_variant_get(value, "$", "double"))) \
+        .when(kind == "STRING", feed_date(F.try_variant_get(value, "$", "string"))) \
+        .otherwise(F.lit(""))

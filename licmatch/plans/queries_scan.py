@@ -8,6 +8,7 @@ from licmatch.functions import dates, gates
 from licmatch.functions import people as pf
 from licmatch.functions import text as tx
 from licmatch.operators import audit, decisions, shortlist, store, views
+from licmatch.operators.frames import number_by_range
 from licmatch.plans import oracle as o
 from licmatch.plans import relations as r
 from licmatch.plans.fixtures import AS_OF
@@ -458,6 +459,38 @@ def _(t):
     return raw.select("ord", dates.mixed_date("stamp").alias("day"))
 
 
+_JSON_STAMP = ("CASE ord % 9 WHEN 0 THEN CAST((11549 - ord % 121) * 86400 AS STRING) WHEN 1 THEN "
+               "CAST((11549 - ord % 121) * 86400000 AS STRING) WHEN 2 THEN "
+               "CAST((11549 - ord % 121) * 864 AS STRING) || 'e2' WHEN 3 THEN "
+               "CAST(ord % 1000 AS STRING) WHEN 4 THEN '\"' || posted_date || 'T10:00:00Z\"' "
+               "WHEN 5 THEN '\"' || CAST(986342400 + ord AS STRING) || '\"' WHEN 6 THEN 'true' "
+               "WHEN 7 THEN '{\"at\":1}' ELSE CAST((11549 - ord % 121) * 86400 AS STRING) || '.5' "
+               "END")
+
+
+@query("p9_json_stamps", """
+    SELECT ord, CASE ord % 9 WHEN 3 THEN '1970-01-01' WHEN 5 THEN '' WHEN 6 THEN ''
+                     WHEN 7 THEN '' ELSE posted_date END AS day
+    FROM postings""")
+def _(t):
+    raw = t.sql(f"SELECT ord, {_JSON_STAMP} AS stamp FROM postings")
+    return raw.select("ord", dates.json_date(F.try_parse_json("stamp")).alias("day"))
+
+
+@query("p6_order_of_jobs", """
+    SELECT 'gh:' || ord || '-' || k AS id,
+           row_number() OVER (ORDER BY ord, k) AS place
+    FROM postings, (SELECT unnest(range(3)) AS k) n WHERE source = 'gh'""")
+def _(t):
+    # Several jobs a payload, and payload numbers far beyond 32 bits.
+    body = F.expr("concat('{\"jobs\":[', array_join(transform(sequence(0, 2), k -> concat("
+                  "'{\"id\":\"', ord, '-', k, '\"}')), ','), ']}')")
+    log = t.fetches.filter("ats = 'greenhouse'").withColumn("body", body) \
+        .withColumn("ord", F.col("ord") + F.lit(2 ** 62))
+    rows = feeds.board_rows(log, TODAY).select("id", "ord")
+    return number_by_range(rows, ["ord"], "place").select("id", "place")
+
+
 _STORED = ("CASE ord % 5 WHEN 0 THEN posted_date || 'T10:00:00Z' WHEN 1 THEN posted_date || "
            "' 23:59:59' WHEN 2 THEN '2001-13-45' WHEN 3 THEN substring(posted_date, 9, 2) || "
            "'/' || substring(posted_date, 6, 2) || '/' || substring(posted_date, 1, 4) "

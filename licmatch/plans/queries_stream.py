@@ -57,7 +57,7 @@ def _(t):
                                                  compact_after=2))
         stored = jobs.posting_store(t.spark, folder).read()
         return staged(stored.groupBy("source").agg(F.count(F.lit(1)).alias("rows"),
-                                                   F.sum("ord").alias("ords")))
+                                                   F.sum("ord").cast("bigint").alias("ords")))
 
 
 @query("st3_closure_drain", """
@@ -109,7 +109,7 @@ def _(t):
                 lambda: t.spark.read.schema(overlay).json(f"{folder}/overlay"))
         drain(t.postings, ["ord % 5 < 2", "ord % 5 >= 2"], folder, start)
         return staged(jobs.posting_store(t.spark, folder).read()
-                      .select("ord", "sponsor_match", "sponsor_rating"))
+                      .select(F.col("ord").cast("bigint").alias("ord"), "sponsor_match", "sponsor_rating"))
 
 
 @query("st4_verdict_state", """

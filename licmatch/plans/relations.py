@@ -38,9 +38,7 @@ def log(t: Tables) -> DataFrame:
 
 
 def postings_of(t: Tables, family: str) -> DataFrame:
-    jobs_of, rows_of = feeds._FAMILIES[family]
-    mine = t.fetches.filter(F.col("ats") == family)
-    return rows_of(jobs_of(mine, "body", "ord", "company"), TODAY, keep=["ord"])
+    return feeds.board_rows(t.fetches.filter(F.col("ats") == family), TODAY)
 
 
 def updates(t: Tables) -> DataFrame:

@@ -1,8 +1,6 @@
 """Board and aggregator payloads: raw text -> jobs -> posting rows."""
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from licmatch import rules, schema
@@ -18,6 +16,24 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
+def read_fetch_log(spark: SparkSession, root: str, boards: DataFrame) -> DataFrame:
+    """(ats, slug, company, http_status, body, ord) from payload files ``root/ats/slug.json``.
+
+    Company and order come from the board registry; a file of no board there goes by its slug
+    and comes after the others.
+    """
+    files = read_payloads(spark, f"{root.rstrip('/')}/*/*.json")
+    named = files.select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("ats"),
+        F.url_decode(F.regexp_extract("path", r"([^/]+)[.]json$", 1)).alias("slug"), "body")
+    known = boards.groupBy("ats", "slug").agg(F.min_by("company", "ord").alias("company"),
+                                              F.min("ord").alias("ord"))
+    return named.join(known, ["ats", "slug"], "left").select(
+        "ats", "slug", F.coalesce("company", "slug").alias("company"),
+        F.lit(200).alias("http_status"), "body",
+        F.coalesce("ord", F.lit(2 ** 62) + F.xxhash64("ats", "slug") % 2 ** 61).alias("ord"))
+
+
 def fetch_outcome(family: Column | str = "ats", status: Column | str = "http_status",
                   body: Column | str = "body") -> Column:
     """not_found, transient, active or empty for one fetch.
@@ -65,73 +81,129 @@ def aggregator_jobs(payloads: DataFrame, body: str = "body", *keep: str) -> Data
     return _jobs(payloads, F.from_json(body, schema.AGGREGATOR_FEED)["results"], list(keep))
 
 
-def _board_row(jobs: DataFrame, keep: list[str], prefix: str, as_of, exact: bool,
-               **fields: Column) -> DataFrame:
-    """The skeleton every employer-board family shares."""
-    title = strip(fields["title"])
-    row = jobs.select(
-        *keep, F.concat(F.lit(prefix + ":"), strip(fields["job_id"])).alias("id"),
-        title.alias("title"), fields["company"].alias("company"),
-        strip(fields["location"]).alias("location"),
-        tx.contract_type(fields["contract"]).alias("contract_type"),
-        F.substring(blank(fields["category"]), 1, 60).alias("category"),
-        gates.tier_for_title(title).alias("tier"), fields["posted"].alias("posted_date"),
-        blank(fields["url"]).alias("redirect_url"),
-        F.lit(str(as_of)).alias("date_first_seen"),
-        F.lit(rules.DEFAULT_STATUS).alias("status"),
-        F.substring(tx.clean_html(fields["description"], exact), 1, 2000)
-        .alias("description"),
-        F.lit(prefix).alias("source"),
-        fields.get("deadline", F.lit("")).alias("apply_deadline"))
-    return conform(row, *keep)
+def _at(job: Column, path: str, kind: str = "string") -> Column:
+    """A field of a job variant; null where it is absent or of another kind."""
+    return F.try_variant_get(job, path, kind)
 
 
-def greenhouse_rows(jobs: DataFrame, as_of, company: Column | str = "company",
-                    keep: list[str] = (), exact: bool = True) -> DataFrame:
-    job = F.col("job")
+def _first_set(job: Column, *paths: str) -> Column:
+    """The first of several fields, as a variant, that is not blank, zero or false."""
+    return F.coalesce(*[F.when(~blank(_at(job, p)).isin("", "0", "false"),
+                               _at(job, p, "variant")) for p in paths])
+
+
+def _list(job: Column, path: str) -> Column:
+    return F.coalesce(_at(job, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def _greenhouse(job: Column) -> dict[str, Column]:
     departments = F.array_join(F.transform(
-        F.filter(job["departments"], lambda d: d.isNotNull()),
-        lambda d: blank(d["name"])), ", ")
-    return _board_row(
-        jobs, list(keep), "gh", as_of, exact, job_id=job["id"], title=job["title"],
-        company=or_else(company, job["company_name"]), location=job["location"]["name"],
-        contract=job["employment_type"], category=departments,
-        posted=dates.feed_date(or_else(job["first_published"], job["updated_at"])),
-        url=job["absolute_url"], description=job["content"],
-        deadline=dates.feed_date(job["application_deadline"]))
-
-
-def ashby_rows(jobs: DataFrame, as_of, company: Column | str = "company",
-               keep: list[str] = (), exact: bool = True,
-               listed_only: bool = False) -> DataFrame:
-    job = F.col("job")
-    if listed_only:
-        jobs = jobs.filter(F.coalesce(job["isListed"], F.lit(True)))
+        F.filter(_list(job, "$.departments"), _is_object),
+        lambda d: blank(_at(d, "$.name"))), ", ")
+    return {"company_name": _at(job, "$.company_name"), "title": _at(job, "$.title"),
+            "location": _at(job, "$.location.name"), "contract": _at(job, "$.employment_type"),
+            "category": departments, "url": _at(job, "$.absolute_url"),
+            "posted": _first_set(job, "$.first_published", "$.updated_at"),
+            "description": _at(job, "$.content"),
+            "deadline": _at(job, "$.application_deadline", "variant")}
+
+
+def _ashby(job: Column) -> dict[str, Column]:
     extra = F.array_join(F.transform(
-        F.coalesce(job["secondaryLocations"], F.array().cast("array<string>")),
-        lambda s: F.when(s.startswith("{"), blank(F.get_json_object(s, "$.location")))
-        .otherwise(F.trim(blank(s), F.lit('"')))), ", ")
-    location = F.concat_ws("; ", F.nullif(blank(job["location"]), F.lit("")),
+        _list(job, "$.secondaryLocations"),
+        lambda s: blank(F.when(_is_object(s), _at(s, "$.location")).otherwise(_at(s, "$")))),
+        ", ")
+    location = F.concat_ws("; ", F.nullif(blank(_at(job, "$.location")), F.lit("")),
                            F.nullif(extra, F.lit("")))
-    return _board_row(
-        jobs, list(keep), "ashby", as_of, exact, job_id=job["id"], title=job["title"],
-        company=tx.col(company), location=location, contract=job["employmentType"],
-        category=or_else(job["department"], job["team"]),
-        posted=dates.mixed_date(job["publishedAt"]), url=job["jobUrl"],
-        description=or_else(job["descriptionHtml"], job["descriptionPlain"]))
+    return {"title": _at(job, "$.title"), "location": location,
+            "contract": _at(job, "$.employmentType"),
+            "category": or_else(_at(job, "$.department"), _at(job, "$.team")),
+            "posted": _at(job, "$.publishedAt", "variant"), "url": _at(job, "$.jobUrl"),
+            "description": or_else(_at(job, "$.descriptionHtml"),
+                                   _at(job, "$.descriptionPlain"))}
 
 
-def lever_rows(jobs: DataFrame, as_of, company: Column | str = "company",
-               keep: list[str] = (), exact: bool = True) -> DataFrame:
+def _lever(job: Column) -> dict[str, Column]:
+    return {"title": _at(job, "$.text"), "location": _at(job, "$.categories.location"),
+            "contract": _at(job, "$.categories.commitment"),
+            "category": or_else(_at(job, "$.categories.team"),
+                                _at(job, "$.categories.department")),
+            "posted": _at(job, "$.createdAt", "variant"),
+            "url": or_else(_at(job, "$.hostedUrl"), _at(job, "$.applyUrl")),
+            "description": or_else(_at(job, "$.descriptionPlain"), _at(job, "$.description"))}
+
+
+#: Family to the place of its jobs in a payload and its fields.
+FAMILIES = {"greenhouse": ("$.jobs", _greenhouse), "ashby": ("$.jobs", _ashby),
+            "lever": ("$", _lever)}
+
+
+def board_jobs(fetches: DataFrame, *keep: str) -> DataFrame:
+    """(ats, keep..., pos, job) over all families: each payload is parsed once, to a variant.
+
+    A family without a mapper fails the job rather than losing its postings.
+    """
+    path = None
+    for place in sorted({place for place, _ in FAMILIES.values()}):
+        mine = F.col("ats").isin(*[f for f, (p, _) in FAMILIES.items() if p == place])
+        listed = F.try_variant_get(F.col("_payload"), place, "array<variant>")
+        path = F.when(mine, listed) if path is None else path.when(mine, listed)
+    unknown = F.raise_error(F.concat(F.lit("no mapper for board family "), F.col("ats")))
+    jobs = path.otherwise(unknown.cast("array<variant>"))
+    parsed = fetches.select("ats", *keep, F.try_parse_json("body").alias("_payload"))
+    return parsed.select("ats", *keep, F.posexplode(jobs).alias("pos", "job"))
+
+
+def job_order(order: str = "ord", place: str = "pos") -> Column:
+    """One sortable number of a payload's number, however large, and the place in it."""
+    return (F.col(order).cast("decimal(28,0)") * F.lit(2 ** 31) + F.col(place)) \
+        .cast("decimal(38,0)")
+
+
+def board_rows(fetches: DataFrame, as_of, exact: bool = True, listed_only: bool = False
+               ) -> DataFrame:
+    """All employer-board families of a fetch log (ats, company, body, ord) in one schema, in
+    one pass over the payloads.
+
+    ``listed_only`` leaves out the jobs that their board marks as not listed.
+    """
+    jobs = board_jobs(fetches, "company", "ord").withColumn("ord", job_order())
     job = F.col("job")
-    groups = job["categories"]
-    return _board_row(
-        jobs, list(keep), "lever", as_of, exact, job_id=job["id"], title=job["text"],
-        company=tx.col(company), location=groups["location"], contract=groups["commitment"],
-        category=or_else(groups["team"], groups["department"]),
-        posted=dates.mixed_date(job["createdAt"]),
-        url=or_else(job["hostedUrl"], job["applyUrl"]),
-        description=or_else(job["descriptionPlain"], job["description"]))
+    if listed_only:
+        jobs = jobs.filter((F.col("ats") != "ashby")
+                           | F.coalesce(_at(job, "$.isListed", "boolean"), F.lit(True)))
+    fields = {family: read(job) for family, (_, read) in FAMILIES.items()}
+
+    def field(name: str, absent: str = "string") -> Column:
+        out = None
+        for family, own in fields.items():
+            value = own.get(name, F.lit(None).cast(absent))
+            out = F.when(F.col("ats") == family, value) if out is None \
+                else out.when(F.col("ats") == family, value)
+        return out
+
+    names = ["company_name", "title", "location", "contract", "category", "url", "description"]
+    prefix = F.create_map(*[F.lit(x) for kv in rules.FAMILY_PREFIXES.items() for x in kv])
+    flat = jobs.select(
+        "ord", "company", F.try_element_at(prefix, F.col("ats")).alias("source"),
+        strip(_at(job, "$.id")).alias("job_id"), *[field(n).alias(n) for n in names],
+        field("posted", "variant").alias("posted"),
+        field("deadline", "variant").alias("deadline"))
+    row = flat.select(
+        "ord", F.concat("source", F.lit(":"), "job_id").alias("id"),
+        strip("title").alias("title"), or_else("company", "company_name").alias("company"),
+        strip("location").alias("location"), tx.contract_type("contract").alias("contract_type"),
+        F.substring(blank("category"), 1, 60).alias("category"),
+        gates.tier_for_title(strip("title")).alias("tier"),
+        dates.json_date("posted").alias("posted_date"), blank("url").alias("redirect_url"),
+        F.lit(str(as_of)).alias("date_first_seen"), F.lit(rules.DEFAULT_STATUS).alias("status"),
+        F.substring(tx.clean_html("description", exact), 1, 2000).alias("description"),
+        "source", dates.json_date("deadline").alias("apply_deadline"))
+    return conform(row, "ord")
 
 
 def aggregator_rows(jobs: DataFrame, as_of, tier: Column | str,
@@ -151,26 +223,3 @@ def aggregator_rows(jobs: DataFrame, as_of, tier: Column | str,
         tx.clean_snippet(job["description"], exact).alias("description"),
         F.lit(rules.AGGREGATOR_SOURCE).alias("source"))
     return conform(row, *keep)
-
-
-_FAMILIES = {"greenhouse": (greenhouse_jobs, greenhouse_rows),
-             "ashby": (ashby_jobs, ashby_rows), "lever": (lever_jobs, lever_rows)}
-
-
-def board_rows(fetches: DataFrame, as_of, exact: bool = True) -> DataFrame:
-    """All employer-board families of a fetch log (ats, company, body, ord) in one schema.
-
-    A family without a mapper fails the job rather than losing its postings.
-    """
-    known = F.col("ats").isin(*_FAMILIES)
-    checked = fetches.withColumn("ats", F.when(known, F.col("ats")).otherwise(
-        F.raise_error(F.concat(F.lit("no mapper for board family "), F.col("ats")))))
-
-    def one(family: str) -> DataFrame:
-        jobs_of, rows_of = _FAMILIES[family]
-        mine = checked.filter(F.col("ats") == family)
-        return rows_of(jobs_of(mine, "body", "company", "ord", "pos_base")
-                       .withColumn("ord", F.col("pos_base") + F.col("pos")),
-                       as_of, keep=["ord"], exact=exact)
-    checked = checked.withColumn("pos_base", F.col("ord") * F.lit(2 ** 31))
-    return functools.reduce(DataFrame.unionByName, [one(f) for f in _FAMILIES])

@@ -27,7 +27,8 @@ from licmatch.streaming import verdicts
 
 STREAM_FETCH = struct(*[(f.name, f.dataType) for f in schema.FETCH_LOG],
                       ("company", schema.S), ("ord", schema.L))
-STORED = struct(*[(f.name, f.dataType) for f in schema.POSTING], ("ord", schema.L))
+STORED = struct(*[(f.name, f.dataType) for f in schema.POSTING],
+                ("ord", T.DecimalType(38, 0)))
 LATENESS = "10 minutes"
 #: Deltas after which a stream compacts its table.
 COMPACT_AFTER = 16

@@ -78,8 +78,8 @@ def test_ingest_stream(spark, folder):
     assert len(calls) == 2
     stored = jobs.posting_store(spark, folder).read()
     found = {r["id"]: r["sponsor_match"] for r in stored.collect()}
-    assert found == {"gh:7343996": "yes", "gh:99": "yes", "lever:8f3c": "no",
-                     "ashby:5f1c": "yes"}
+    assert found == {"gh:4410277": "yes", "gh:99": "yes", "lever:m2q9": "no",
+                     "ashby:k77a": "yes"}
     closed = jobs.closure_store(spark, folder).read()
     assert [r["id"] for r in closed.collect()] == ["gh:99"]
     # Every batch run again from the start finds its postings there: nothing changes.
