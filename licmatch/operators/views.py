@@ -8,6 +8,7 @@ from licmatch.functions import dates, gates
 from licmatch.functions.text import as_int, blank, normalize_name, source_of, strip
 from licmatch.operators import licence
 from licmatch.operators.frames import count_if, first_per_key
+from licmatch.operators.search_index import SearchIndex, build, containing
 
 FACETS = ["status", "tier", "source", "sponsor_match"]
 TRAIL_LENGTH = 20
@@ -44,11 +45,27 @@ def job_detail(rows: DataFrame, lookup: DataFrame, aliases: DataFrame, boards: D
     return resolved.join(trails, "id", "left")
 
 
+def job_index(jobs: DataFrame, folder: str | None = None) -> SearchIndex:
+    """Trigram index over title and company of jobs with an ``id``."""
+    return build(jobs.select("id", F.lower(F.concat_ws(" ", "title", "company")).alias("text")),
+                 "text", ["id"], folder)
+
+
+def company_index(companies: DataFrame, folder: str | None = None) -> SearchIndex:
+    return build(companies.select("company", F.lower("company").alias("text")), "text",
+                 ["company"], folder)
+
+
 def filter_jobs(jobs: DataFrame, q: str = "", company: str = "", status: str = "",
                 tier: str = "", source: str = "", sponsor: str = "",
-                eligible: bool | None = None) -> DataFrame:
-    """Conjunction of the supplied filters over job summaries."""
-    if q:
+                eligible: bool | None = None, index: SearchIndex | None = None) -> DataFrame:
+    """Conjunction of the supplied filters over job summaries.
+
+    With an ``index`` (``job_index``) the searched text comes from it, not from a scan.
+    """
+    if q and index is not None:
+        jobs = jobs.join(containing(index, q.lower()).select("id"), "id", "left_semi")
+    elif q:
         jobs = jobs.filter(F.contains(F.lower(F.concat_ws(" ", "title", "company")),
                                       F.lit(q.lower())))
     for name, value in (("company", company), ("status", status), ("tier", tier),
@@ -119,9 +136,13 @@ def company_order() -> list:
 
 
 def filter_companies(companies: DataFrame, q: str = "", resolved: bool | None = None,
-                     limit: int | None = None, offset: int = 0) -> DataFrame:
+                     limit: int | None = None, offset: int = 0,
+                     index: SearchIndex | None = None) -> DataFrame:
     """Matching companies in order; a page of them if the caller asks for one."""
-    if q:
+    if q and index is not None:
+        companies = companies.join(containing(index, q.lower()).select("company"), "company",
+                                   "left_semi")
+    elif q:
         companies = companies.filter(F.contains(F.lower("company"), F.lit(q.lower())))
     if resolved is not None:
         companies = companies.filter((F.col("resolution.method") != "none") == resolved)

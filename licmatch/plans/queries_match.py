@@ -7,7 +7,8 @@ from licmatch import rules
 from licmatch.functions import gates
 from licmatch.functions import people as pf
 from licmatch.functions import text as tx
-from licmatch.operators import audit, frames, ingest, licence, people, review, shortlist
+from licmatch.operators import (audit, frames, ingest, licence, people, review, search_index,
+                                shortlist)
 from licmatch.operators import store as st
 from licmatch.operators import views
 from licmatch.plans import oracle as o
@@ -158,17 +159,29 @@ def _(t):
 
 
 @query("j13_register_search", """
-    SELECT key AS register_name, rating FROM lk WHERE contains(key, 'OBALT')
+    SELECT key AS register_name, rating FROM lk WHERE contains(key, 'RNBROO')
     ORDER BY 1 LIMIT 20""")
 def _(t):
-    return licence.register_search(r.lookup(t), "obalt")
+    return search_index.register_search(search_index.register_index(r.lookup(t)), "rnbroo")
 
 
 @query("j13_register_prefix_search", """
     SELECT key AS register_name, rating FROM lk WHERE split_part(key, ' ', 1) = 'FILLER3'
       AND starts_with(key, 'FILLER3') ORDER BY 1 LIMIT 20""")
 def _(t):
-    return licence.register_search(r.lookup(t), "Filler3")
+    return search_index.register_search(search_index.register_index(r.lookup(t)), "Filler3")
+
+
+@query("j13_contains", """
+    SELECT key, rating, 'ER ST' AS part FROM lk WHERE contains(key, 'ER ST')
+    UNION ALL SELECT key, rating, 'K' FROM lk WHERE contains(key, 'K')
+    UNION ALL SELECT key, rating, 'X1' FROM lk WHERE contains(key, 'X1')
+    UNION ALL SELECT key, rating, 'QUARRIER' FROM lk WHERE contains(key, 'QUARRIER')""")
+def _(t):
+    index = search_index.build(r.lookup(t).select("key", "rating"), "key", ["key"], block=512)
+    found = [search_index.containing(index, part).withColumn("part", F.lit(part))
+             for part in ("ER ST", "K", "X1", "QUARRIER")]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 @query("j14_company_variants", f"""
@@ -808,9 +821,8 @@ def _(t):
     SELECT key FROM lk WHERE starts_with(key, 'FILLER1') UNION
     SELECT key FROM lk WHERE contains(key, 'UK')""")
 def _(t):
-    keys = r.lookup(t).select("key")
-    return keys.filter(F.col("key").startswith("FILLER1")) \
-        .union(keys.filter(F.col("key").contains("UK"))).distinct()
+    index = search_index.register_index(r.lookup(t))
+    return search_index.prefix_or_contains(index, "FILLER1", "UK").select("key")
 
 
 @query("u6_ordered_distinct", """

@@ -12,8 +12,9 @@ from licmatch.operators.frames import number_by_range
 from licmatch.plans import oracle as o
 from licmatch.plans import relations as r
 from licmatch.plans.fixtures import AS_OF
-from licmatch.plans.registry import query
+from licmatch.plans.registry import query, split_bytes
 from licmatch.sources import feeds, reports, searches, tables
+from licmatch.sources.staging import staged, staging
 
 TODAY = AS_OF
 
@@ -147,9 +148,38 @@ def _(t):
 @query("s11_legacy_store", """
     SELECT company AS id, arg_max(title, ord) AS title FROM postings GROUP BY company""")
 def _(t):
-    from licmatch.operators.frames import first_per_key
-    keyed = t.postings.select(F.col("company").alias("id"), "title", "ord")
-    return first_per_key(keyed, ["id"], [F.desc("ord")]).select("id", "title")
+    # A file of the kind the old store was: quoted texts, some with line breaks.
+    old = t.postings.select(F.col("company").alias("id"), "title", "ord", F.expr(
+        "concat('first \"line\"', repeat(',\n', cast(ord % 3 as int)), 'last')").alias("notes"))
+    with staging(t.spark) as folder:
+        old.orderBy("ord").coalesce(1).drop("ord").write.option("header", True) \
+            .option("escape", '"').option("quoteAll", True).csv(f"{folder}/old")
+        loaded = tables.read_csv_store(t.spark, f"{folder}/old")
+        return staged(loaded.select("id", "title"))
+
+
+@query("s1_register_file", """
+    SELECT count(*) AS rows, count(DISTINCT org) AS names,
+           count(*) FILTER (contains(town_city, chr(10))) AS broken,
+           CAST(sum(length(town_city)) AS BIGINT) AS letters,
+           CAST(sum(place * length(town_city)) AS BIGINT) AS ordered
+    FROM (SELECT org, town_city || CASE WHEN ord % 7 = 0 THEN chr(10) || '"' || chr(10) || 'x'
+                                        ELSE '' END AS town_city,
+                 row_number() OVER (ORDER BY ord) AS place FROM register) q""")
+def _(t):
+    town = F.when(F.col("ord") % 7 == 0, F.concat("town_city", F.lit('\n"\nx'))) \
+        .otherwise(F.col("town_city"))
+    names = schema.REGISTER_CSV.fieldNames()
+    rows = t.register.withColumn("town_city", town).orderBy("ord").coalesce(1) \
+        .select("org", "town_city", "county", "type_rating", "route").toDF(*names)
+    with staging(t.spark) as folder, split_bytes(t.spark, 65536):
+        rows.write.option("header", True).option("escape", '"').csv(f"{folder}/register")
+        read = staged(tables.read_register(t.spark, f"{folder}/register"), f"{folder}/rows")
+        return staged(read.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_distinct("org").alias("names"),
+            F.count_if(F.contains("town_city", F.lit("\n"))).alias("broken"),
+            F.sum(F.length("town_city")).alias("letters"),
+            F.sum((F.col("ord") + 1) * F.length("town_city")).alias("ordered")))
 
 
 @query("s12_snapshot_rows", f"""
@@ -946,6 +976,15 @@ def _(t):
         .select("id", "score")
 
 
+@query("f13_indexed_job_filter", """
+    SELECT id, score FROM summaries WHERE contains(lower(title || ' ' || company), 'ta eng')
+      AND sponsor_match = 'yes'""")
+def _(t):
+    jobs = views.job_summary(r.matched(t), TODAY)
+    return views.filter_jobs(jobs, q="TA Eng", sponsor="yes", index=views.job_index(t.postings)) \
+        .select("id", "score")
+
+
 @query("f14_company_filter", """
     SELECT c.company, c.jobs FROM companies c JOIN resolved x ON x.key = c.key
     WHERE contains(lower(c.company), 'pumice') AND x.method <> 'none'""")

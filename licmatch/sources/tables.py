@@ -12,30 +12,19 @@ from licmatch.operators import store as st
 from licmatch.operators.audit import flatten_log
 from licmatch.operators.frames import first_per_key, number_by_range
 from licmatch.operators.shortlist import apply_shortlist, store_keys, store_order
+from licmatch.sources.csv_records import read_csv
 
 BOARD_FIELDS = schema.BOARD.fieldNames()
 
 
-def _scan_order() -> Column:
-    """Position of a text row in the scan, taken where the file is read, before any shuffle."""
-    return F.monotonically_increasing_id().alias("ord")
-
-
 # --- register -------------------------------------------------------------------------------
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with columns taken by name, all text; a byte-order mark is dropped."""
-    raw = spark.read.option("header", True).option("inferSchema", False) \
-        .option("multiLine", False).option("escape", '"').csv(path)
-    return raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-
-
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    raw = _csv(spark, path)
+    raw = read_csv(spark, path)
     return raw.select(
         F.col("`Organisation Name`").alias("org"), F.col("`Town/City`").alias("town_city"),
         F.col("County").alias("county"), F.col("`Type & Rating`").alias("type_rating"),
-        F.col("Route").alias("route"), _scan_order())
+        F.col("Route").alias("route"), "ord")
 
 
 def parse_register_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -59,7 +48,7 @@ def clean_boards(raw: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_boards(spark: SparkSession, path: str) -> DataFrame:
-    return clean_boards(_csv(spark, path).select(*BOARD_FIELDS, _scan_order()), "ord")
+    return clean_boards(read_csv(spark, path).select(*BOARD_FIELDS, "ord"), "ord")
 
 
 def board_file_order(boards: DataFrame) -> DataFrame:
@@ -225,8 +214,7 @@ def append_new(rows: DataFrame, root: str, batch: str | int) -> None:
 
 def read_csv_store(spark: SparkSession, path: str) -> DataFrame:
     """Legacy CSV store: keyed by id, last row wins."""
-    raw = _csv(spark, path).withColumn("ord", F.monotonically_increasing_id())
-    return first_per_key(st.conform(raw, "ord"), ["id"], [F.desc("ord")])
+    return first_per_key(st.conform(read_csv(spark, path), "ord"), ["id"], [F.desc("ord")])
 
 
 def load_store(spark: SparkSession, root: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from licmatch.operators import licence, review, shortlist
+from licmatch.operators import licence, review, search_index, shortlist
 
 ENTRIES = {"MONZO BANK": "A", "ROOFOODS LTD T A DELIVEROO": "A", "AMENTUM UK": "A",
            "AMAZON CHARITABLE TRUST": "A", "AMAZON UK SERVICES": "A", "SYNTASSO": "A",
@@ -139,6 +139,34 @@ def test_register_search(spark, query, limit, expected):
     assert [r["register_name"] for r in found] == expected
 
 
+def test_register_search_by_index(spark):
+    index = search_index.register_index(lookup_of(spark, ENTRIES))
+    for query, limit, expected in [
+            ("amazon", 20, ["AMAZON CHARITABLE TRUST", "AMAZON UK SERVICES"]),
+            ("UK", 20, ["AMAZON UK SERVICES", "AMENTUM UK", "NEARFORM UK"]), ("a", 20, []),
+            ("", 20, []), ("zzzz", 20, []), ("amazon", 1, ["AMAZON CHARITABLE TRUST"])]:
+        found = search_index.register_search(index, query, limit).collect()
+        assert [r["register_name"] for r in found] == expected, query
+
+
+def test_index_equals_a_scan(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab é", k=rng.randrange(12))) for _ in range(1500)]
+    texts += ["aaaa common"] * 900 + ["", "x", None]      # one text that a third of the rows have
+    rows = spark.createDataFrame(list(enumerate(texts)), "v bigint, t string").repartition(4)
+    index = search_index.build(rows, "t", ["t", "v"], block=100)
+    for query in ("a", "ab", "aab", "aaaa", "é a", "b b ba", " ", "common", "zzz", "x"):
+        want = {i for i, t in enumerate(texts) if t is not None and query in t}
+        assert {r["v"] for r in search_index.containing(index, query).collect()} == want, query
+        want = {i for i, t in enumerate(texts) if t is not None and t.startswith(query)}
+        assert {r["v"] for r in search_index.starting(index, query).collect()} == want, query
+    assert max(len(r["numbers"]) for r in index.grams().collect()) <= 100
+    # The grams of a query reach the scan of the index.
+    plan = search_index.candidates(index, "aab")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram, [aab])" in plan or "EqualTo(gram,aab)" in plan
+    assert search_index.containing(search_index.build(rows.limit(0), "t", ["t"]), "a").count() == 0
+
+
 def test_rulings_equal_a_plain_scan(spark):
     norm = lambda s: re.sub(r"[^a-z0-9]+", " ", s.lower()).strip()
     rules = [("role", "Acme::Data", "CUT"), ("role", "Data", "KEEP"), ("role", "::nurse", "X"),

@@ -1,13 +1,15 @@
 """Files, payloads and reports."""
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from licmatch import schema
 from licmatch.operators import audit, review
-from licmatch.sources import feeds, reports, searches, tables
+from licmatch.plans.registry import split_bytes
+from licmatch.sources import csv_records, feeds, reports, searches, tables
 
 TODAY = "2026-08-14"
 GREENHOUSE = {
@@ -280,3 +282,55 @@ def test_synthetic_shapes_follow_their_shares(spark):
     assert counts == {name: share * 10 for name, share in searches.SHAPES}
     register = searches.synthetic_register(spark.range(1000))
     assert register.count() >= 4000 and register.filter("shape = 'trap'").count() == 600
+
+
+def odd_csv(rng, rows):
+    """A file with line breaks, quotes and commas in fields, and its rows."""
+    bits = ["a", "b,", '""', "\n", " ", "é", "\n\n", "long text " * 9, ""]
+    lines, want = ["name,note,n"], []
+    for i in range(rows):
+        fields = ["".join(rng.choices(bits, k=rng.randrange(6))) for _ in range(2)]
+        lines.append(",".join([f'"{f}"' for f in fields] + [str(i)]))
+        want.append((*[f.replace('""', '"') for f in fields], str(i)))
+    return "\n".join(lines) + "\n", want
+
+
+@pytest.mark.parametrize("split", [700, 65536])
+def test_quoted_records_over_splits(spark, folder, split):
+    text, want = odd_csv(random.Random(split), 3000)
+    path = write(folder, "r.csv", text)
+    with split_bytes(spark, split):
+        raw = spark.read.text(path)
+        assert raw.rdd.getNumPartitions() > 1
+        rows = csv_records.read_csv(spark, path).orderBy("ord").collect()
+    assert [(r["name"] or "", r["note"] or "", r["n"]) for r in rows] == want
+    assert [r["ord"] for r in rows] == list(range(len(want)))
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
+        .csv(path)
+    got = sorted((r["name"], r["note"], r["n"]) for r in rows if r["name"] and r["note"])
+    assert got == sorted(tuple(r) for r in whole.collect() if r["name"] and r["note"])
+
+
+def test_one_record_over_many_splits(spark, folder):
+    long = "\n".join(f"line {i}, of a text" for i in range(2000))
+    path = write(folder, "r.csv", f'a,b\r\n1,"{long}"\r\n2,x\r\n')
+    with split_bytes(spark, 900):
+        rows = csv_records.read_csv(spark, path).orderBy("ord").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [("1", long), ("2", "x")]
+
+
+def test_csv_of_several_and_no_files(spark, folder):
+    os.makedirs(os.path.join(folder, "in"))
+    write(folder, "in/1.csv", "a,b\n1,2\n\n3,\"x\ny\"\n")
+    write(folder, "in/2.csv", "a,b\n5,6")
+    rows = csv_records.read_csv(spark, f"{folder}/in").orderBy("ord").collect()
+    assert [(r["a"], r["b"]) for r in rows] == [("1", "2"), ("3", "x\ny"), ("5", "6")]
+    assert csv_records.read_csv(spark, write(folder, "e.csv", "")).count() == 0
+    assert csv_records.read_csv(spark, write(folder, "h.csv", "a,b\n")).columns == ["a", "b", "ord"]
+
+
+def test_legacy_store_with_line_breaks(spark, folder):
+    path = write(folder, "old.csv", 'id,title,notes\n1,A,"one\ntwo"\n2,B,\n1,C,"x ""y"""\n')
+    rows = {r["id"]: (r["title"], r["notes"]) for r in
+            tables.read_csv_store(spark, path).collect()}
+    assert rows == {"1": ("C", 'x "y"'), "2": ("B", "")}
