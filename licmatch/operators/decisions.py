@@ -1,8 +1,8 @@
 """Decisions as batch jobs: one row is one proposed decision.
 
 Proposals are judged against one snapshot and, where they concern the same company or job, in
-their order: the first accepted one stands. The result of judging is what a preview
-shows; applying it only turns the accepted rows into mutations and log rows, so a preview
+their order, each meeting what the accepted ones before it left; a repeated action gets the
+answer of the first (``decision_fold``). The result of judging is what a preview shows; applying it only turns the accepted rows into mutations and log rows, so a preview
 cannot differ from its apply.
 """
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from licmatch import rules
 from licmatch.functions import dates, gates
 from licmatch.functions.text import append_note, blank, normalize_name, strip
+from licmatch.operators.decision_fold import answered, mark_logged, not_logged, with_state
 from licmatch.operators.frames import count_if, first_per_key
 from licmatch.operators.licence import alias_keys
 from licmatch.schema import VALIDATION
@@ -60,7 +61,7 @@ class _Rules:
         return chain.otherwise("")
 
     def validations(self) -> Column:
-        none = F.array().cast(f"array<{VALIDATION.simpleString()}>")
+        none = no_validations()
         so_far: list[Column] = []
         chain = F
         for failing, _, good, bad, keep in self.steps:
@@ -70,6 +71,10 @@ class _Rules:
         return chain.otherwise(F.array(*so_far))
 
 
+def no_validations() -> Column:
+    return F.array().cast(f"array<{VALIDATION.simpleString()}>")
+
+
 def rationale_check(rationale="rationale") -> tuple[Column, Column]:
     """(failing, passed validation) for the length rule of a decision's reason."""
     length = F.length(strip(rationale))
@@ -90,26 +95,18 @@ def replay(proposals: DataFrame, log: DataFrame) -> DataFrame:
         .drop("_first")
 
 
-def _first_wins(judged: DataFrame, key: str, binding: Column, code: str, bad: Column,
-                rules_before: int) -> DataFrame:
-    """Of several accepted proposals for one key the first stands; a later one, where it is
-    ``binding``, gets ``code`` and the failed rule after the ``rules_before`` it passed."""
-    mine = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.max(F.col("code") == "").over(mine), F.lit(False))
-    late = (F.col("code") == "") & F.col("_taken") & binding
-    return judged.withColumn("_taken", taken).withColumns({
-        "validations": F.when(late, F.concat(F.slice("validations", 1, rules_before), F.array(bad)))
-        .otherwise(F.col("validations")),
-        "code": F.when(late, code).otherwise(F.col("code"))}).drop("_taken")
-
-
 # --- resolve company ----------------------------------------------------------------------
 
 def judge_resolutions(proposals: DataFrame, store: DataFrame, lookup: DataFrame,
-                      aliases: DataFrame) -> DataFrame:
-    """Proposals (ord, company, register_name, rationale, supersede, acknowledge_agency)
-    with code ('' = accepted), validations, rating, rows_changed and shortlist_delta."""
-    keyed = proposals.withColumn("key", normalize_name("company")) \
+                      aliases: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Proposals (ord, company, register_name, rationale, supersede, acknowledge_agency[,
+    action_id]) with code ('' = accepted), validations, rating, rows_changed, shortlist_delta,
+    replayed and log_entry_id.
+
+    Proposals for one company are judged in their order: a later one meets the name that the
+    accepted ones before left, and counts only rows that are still open.
+    """
+    keyed = mark_logged(proposals, log).withColumn("key", normalize_name("company")) \
         .withColumn("_register_key", normalize_name("register_name"))
     asked = keyed.select("key").distinct()
     undecided = gates.status_of("sponsor_match") != "yes"
@@ -123,9 +120,14 @@ def judge_resolutions(proposals: DataFrame, store: DataFrame, lookup: DataFrame,
     joined = keyed.join(stats, "key", "left").join(entries, "_register_key", "left") \
         .join(existing, "key", "left")
 
-    resolved = F.col("_resolved").isNotNull() & (F.col("_resolved") != F.col("register_name"))
     agency = gates.is_agency()
     bad_reason, reason_ok = rationale_check()
+    good = F.col("_tracked").isNotNull() & F.col("_r").isNotNull() \
+        & (~agency | F.col("acknowledge_agency")) & ~bad_reason & not_logged(keyed, log)
+    joined = with_state(joined, "resolve", "key", F.col("_resolved"), good,
+                        F.col("register_name"), F.col("supersede")) \
+        .withColumn("_resolved", F.col("state_before"))
+    resolved = F.col("_resolved").isNotNull() & (F.col("_resolved") != F.col("register_name"))
     entry_ok = passed("register_entry_exists", F.concat(
         F.col("register_name"), F.lit(" ("),
         F.when(blank("_r") != "", F.col("_r")).otherwise("no"),
@@ -148,23 +150,22 @@ def judge_resolutions(proposals: DataFrame, store: DataFrame, lookup: DataFrame,
         .step(agency & ~F.col("acknowledge_agency"), "agency_company", acknowledged,
               failed("not_an_agency", F.col("company"), overridable=True)) \
         .step(bad_reason, "rationale_required", reason_ok, keep=False)
-    accepted = F.col("code") == ""
-    judged = _first_wins(joined.withColumn("code", steps.code())
-                         .withColumn("validations", steps.validations()), "key",
-                         ~F.col("supersede"), "already_resolved",
-                         failed("not_already_resolved", F.lit("resolved earlier in the batch"),
-                                overridable=True), 2)
-    return judged \
-        .withColumn("rating", F.when(accepted, F.col("_r")).otherwise("")) \
-        .withColumn("rows_changed", F.when(accepted, F.col("_restamped")).otherwise(F.lit(0))) \
-        .withColumn("shortlist_delta", F.when(accepted, F.col("_delta")).otherwise(F.lit(0))) \
+    first = (F.col("code") == "") & (F.col("accepted_before") == 0)
+    judged = joined.withColumn("code", steps.code()) \
+        .withColumn("validations", steps.validations()) \
+        .withColumn("rating", F.when(F.col("code") == "", F.col("_r")).otherwise("")) \
+        .withColumn("rows_changed", F.when(first, F.col("_restamped")).otherwise(F.lit(0))) \
+        .withColumn("shortlist_delta", F.when(first, F.col("_delta")).otherwise(F.lit(0))) \
         .select(*proposals.columns, "key", "code", "validations", "rating", "rows_changed",
-                "shortlist_delta")
+                "shortlist_delta", "repeats")
+    return answered(judged, ["rating", "shortlist_delta"], ["rows_changed"], log) \
+        .drop("repeats")
 
 
 def resolution_mutations(judged: DataFrame, store: DataFrame) -> DataFrame:
-    """(id, field, value, ord) of the accepted resolutions."""
-    accepted = first_per_key(judged.filter(F.col("code") == ""), ["key"], [F.desc("ord")]) \
+    """(id, field, value, ord) of the accepted resolutions: the first one of a company stamps its
+    open rows, and there are none left for a later one."""
+    accepted = first_per_key(_new(judged), ["key"], ["ord"]) \
         .select("key", F.col("rating").alias("_rating"), F.col("ord").alias("_decision"))
     rows = store.filter(gates.status_of("sponsor_match") != "yes") \
         .select("id", normalize_name("company").alias("key")).join(accepted, "key")
@@ -173,9 +174,18 @@ def resolution_mutations(judged: DataFrame, store: DataFrame) -> DataFrame:
         F.lit("sponsor_route"), F.lit(rules.SKILLED_WORKER_ROUTE))).alias("field", "value"))
 
 
+def resolution_changes(judged: DataFrame, store: DataFrame) -> DataFrame:
+    """(ord, id, title, before, after): the rows each accepted resolution changes."""
+    accepted = first_per_key(_new(judged), ["key"], ["ord"]).select("key", "ord")
+    return store.filter(gates.status_of("sponsor_match") != "yes") \
+        .select("id", "title", normalize_name("company").alias("key"),
+                F.col("sponsor_match").alias("before")).join(accepted, "key") \
+        .select("ord", "id", "title", "before", F.lit("yes").alias("after"))
+
+
 def accepted_aliases(judged: DataFrame, as_of, actor: str = "") -> DataFrame:
     """Overlay rows of the accepted resolutions."""
-    return judged.filter(F.col("code") == "").select(
+    return _new(judged).select(
         "company", "register_name", "rating", F.lit(str(as_of)).alias("confirmed"),
         F.lit(actor).alias("actor"), strip("rationale").alias("rationale"),
         F.lit("").alias("log_entry_id"), "ord")
@@ -183,17 +193,26 @@ def accepted_aliases(judged: DataFrame, as_of, actor: str = "") -> DataFrame:
 
 # --- log application ----------------------------------------------------------------------
 
-def judge_applications(proposals: DataFrame, store: DataFrame, as_of) -> DataFrame:
-    """Proposals (ord, job_id, applied_via, date_applied, notes, override_reason)."""
+def judge_applications(proposals: DataFrame, store: DataFrame, as_of,
+                       log: DataFrame | None = None) -> DataFrame:
+    """Proposals (ord, job_id, applied_via, date_applied, notes, override_reason[, action_id]),
+    judged one after another per job; one that breaks a rule by itself is told that rule."""
     facts = store.select(
         F.col("id").alias("job_id"), F.col("title").alias("_title"),
         gates.status_of().alias("_status"), gates.disqualify().alias("_reason"))
-    joined = proposals.join(facts, "job_id", "left")
+    joined = mark_logged(proposals, log).join(facts, "job_id", "left")
     today = dates.as_date(as_of)
     when = strip(F.when(blank("date_applied") != "", F.col("date_applied"))
                  .otherwise(today.cast("string")))
     day = dates.iso_date(when)
     override = strip("override_reason")
+    known_method = F.coalesce(F.col("applied_via").isin(*rules.APPLY_METHODS), F.lit(False))
+    late = day.isNull() | (day > today)
+    barred = F.col("_reason").isNotNull() & (override == "")
+    good = F.col("_status").isNotNull() & known_method & ~late & ~barred \
+        & not_logged(joined, log)
+    joined = with_state(joined, "apply", "job_id", F.col("_status"), good, F.lit("applied")) \
+        .withColumn("_status", F.when(good, F.col("state_before")).otherwise(F.col("_status")))
     eligible = F.when(F.col("_reason").isNotNull(),
                       overridden("eligible_to_apply", F.col("_reason"), override)) \
         .otherwise(passed("eligible_to_apply"))
@@ -203,21 +222,20 @@ def judge_applications(proposals: DataFrame, store: DataFrame, as_of) -> DataFra
         .step(~F.col("_status").isin("", rules.DEFAULT_STATUS), "already_actioned",
               passed("not_already_actioned"),
               failed("not_already_actioned", F.col("_status"))) \
-        .step(~F.coalesce(F.col("applied_via").isin(*rules.APPLY_METHODS), F.lit(False)),
-              "unknown_method", passed("applied_via_known", F.col("applied_via")),
+        .step(~known_method, "unknown_method", passed("applied_via_known", F.col("applied_via")),
               keep=False) \
-        .step(day.isNull() | (day > today), "ineligible", passed("date_not_future", when),
+        .step(late, "ineligible", passed("date_not_future", when),
               keep=False) \
-        .step(F.col("_reason").isNotNull() & (override == ""), "ineligible", eligible,
+        .step(barred, "ineligible", eligible,
               failed("eligible_to_apply", F.col("_reason"), overridable=True))
-    judged = _first_wins(joined.withColumn("code", steps.code())
-                         .withColumn("validations", steps.validations()), "job_id",
-                         F.lit(True), "already_actioned",
-                         failed("not_already_actioned", F.lit("applied")), 1)
-    return judged \
+    judged = joined.withColumn("code", steps.code()) \
+        .withColumn("validations", steps.validations()) \
+        .withColumn("status_before", F.col("_status")) \
         .withColumn("applied_on", F.when(F.col("code") == "", when).otherwise("")) \
         .withColumn("rows_changed", F.when(F.col("code") == "", 1).otherwise(0)) \
-        .select(*proposals.columns, "code", "validations", "applied_on", "rows_changed")
+        .select(*proposals.columns, "code", "validations", "status_before", "applied_on",
+                "rows_changed", "repeats")
+    return answered(judged, ["applied_on"], ["rows_changed"], log).drop("repeats")
 
 
 def application_mutations(judged: DataFrame) -> DataFrame:
@@ -227,17 +245,17 @@ def application_mutations(judged: DataFrame) -> DataFrame:
         F.struct(F.lit("applied_via").alias("field"), F.col("applied_via").alias("value")),
         F.when(strip("notes") != "", F.struct(F.lit("notes").alias("field"),
                                               strip("notes").alias("value")))))
-    return judged.filter(F.col("code") == "") \
-        .select(F.col("job_id").alias("id"), "ord", F.inline(fields))
+    return _new(judged).select(F.col("job_id").alias("id"), "ord", F.inline(fields))
 
 
 # --- set status ---------------------------------------------------------------------------
 
-def judge_status_changes(proposals: DataFrame, store: DataFrame, as_of) -> DataFrame:
-    """Proposals (ord, job_id, status, note), judged one after another per job.
+def judge_status_changes(proposals: DataFrame, store: DataFrame, as_of,
+                         log: DataFrame | None = None) -> DataFrame:
+    """Proposals (ord, job_id, status, note[, action_id]), judged one after another per job.
 
-    The status before a proposal is that of the last good proposal for the job, or the
-    store's. Dates and notes build on what the accepted ones before it left.
+    The status before a proposal is what the accepted ones before it left, or the store's.
+    Dates and notes build on them too.
     """
     before = F.when(gates.status_of() == "", rules.DEFAULT_STATUS).otherwise(gates.status_of())
     facts = store.select(
@@ -246,14 +264,10 @@ def judge_status_changes(proposals: DataFrame, store: DataFrame, as_of) -> DataF
         F.col("notes").alias("_notes"))
     target = F.lower(strip("status"))
     known = target.isin(*rules.STATUS_VOCAB)
-    # One job has few decisions in a batch.
-    earlier = Window.partitionBy("job_id").orderBy("ord") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy("job_id").orderBy("ord") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = proposals.join(facts, "job_id", "left").withColumn(
-        "status_before", F.when(F.col("_stored").isNotNull(), F.coalesce(
-            F.last(F.when(known, target), ignorenulls=True).over(earlier), F.col("_stored"))))
+    joined = mark_logged(proposals, log).join(facts, "job_id", "left")
+    good = F.col("_stored").isNotNull() & known & not_logged(joined, log)
+    joined = with_state(joined, "move", "job_id", F.col("_stored"), good, target).withColumn(
+        "status_before", F.when(F.col("_stored").isNotNull(), F.col("state_before")))
     steps = _Rules() \
         .step(F.col("status_before").isNull(), "not_found",
               passed("job_exists", blank("_title")), keep=False) \
@@ -263,22 +277,30 @@ def judge_status_changes(proposals: DataFrame, store: DataFrame, as_of) -> DataF
                      F.concat(F.col("status_before"), F.lit(" -> "), target)),
               failed("status_is_changing", target))
     today = dates.as_date(as_of)
-    accepted = F.col("code") == ""
+    # One job has few decisions in a batch.
+    earlier = Window.partitionBy("job_id").orderBy("ord") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("job_id").orderBy("ord") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    accepted = (F.col("code") == "") & F.col("repeats").isNull() & not_logged(joined, log)
     noted = accepted & (strip("note") != "")
     applied_before = F.coalesce(F.max(accepted & (target == "applied")).over(earlier),
                                 F.lit(False))
     notes = F.aggregate(
         F.collect_list(F.when(noted, strip("note"))).over(so_far), blank("_notes"),
         lambda text, note: append_note(text, note, today))
-    return joined.withColumn("code", steps.code()) \
+    judged = joined.withColumn("code", steps.code()) \
         .withColumn("validations", steps.validations()) \
         .withColumn("status_after", target) \
         .withColumn("new_date_applied", F.when(
             accepted & (target == "applied") & (F.col("_applied") == "") & ~applied_before,
             today.cast("string"))) \
         .withColumn("new_notes", F.when(noted, notes)) \
+        .withColumn("rows_changed", F.when(F.col("code") == "", 1).otherwise(0)) \
         .select(*proposals.columns, "code", "validations", "status_before", "status_after",
-                "new_date_applied", "new_notes")
+                "new_date_applied", "new_notes", "rows_changed", "repeats")
+    return answered(judged, ["status_before", "status_after"], ["rows_changed"], log) \
+        .drop("repeats")
 
 
 def status_mutations(judged: DataFrame) -> DataFrame:
@@ -289,19 +311,46 @@ def status_mutations(judged: DataFrame) -> DataFrame:
         write("status", F.col("status_after")),
         write("date_applied", F.col("new_date_applied")),
         write("notes", F.col("new_notes"))))
-    return judged.filter(F.col("code") == "") \
-        .select(F.col("job_id").alias("id"), "ord", F.inline(fields))
+    return _new(judged).select(F.col("job_id").alias("id"), "ord", F.inline(fields))
 
 
 # --- log rows -----------------------------------------------------------------------------
 
+def _new(judged: DataFrame) -> DataFrame:
+    """Accepted proposals that are no repeats."""
+    return judged.filter((F.col("code") == "") & ~F.col("replayed"))
+
+
+def _by_job(changes: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(ord, job_ids, before, after) per decision from its changed rows.
+
+    An entry lists the jobs of one company, as the log's format asks for; ``changes`` itself is
+    the form for companies of any size.
+    """
+    pair = F.array_sort(F.collect_list(F.struct("id", "before", "after")))
+
+    def values(side: str) -> Column:
+        return F.map_from_entries(F.transform(F.col("_jobs"), lambda j: F.struct(
+            j["id"].alias("key"), F.to_json(F.struct(j[side].alias(names["field"])))
+            .alias("value"))))
+    return changes.groupBy("ord").agg(pair.alias("_jobs")).select(
+        "ord", F.to_json(F.transform("_jobs", lambda j: j["id"])).alias("_job_ids"),
+        values("before").alias("before"), values("after").alias("after"))
+
+
 def log_rows(judged: DataFrame, kind: str, actor_id: str = "", actor_name: str = "",
-             at: str = "") -> DataFrame:
-    """Accepted decisions as log entries without seq and hashes (see audit.append)."""
+             at: str = "", changes: DataFrame | None = None) -> DataFrame:
+    """Accepted decisions as log entries without seq and hashes (see audit.append).
+
+    Repeats are in the log already. ``before`` and ``after`` hold the changed fields by job, as
+    JSON; a resolution's come from ``changes`` (``resolution_changes``).
+    """
+    none = F.create_map().cast("map<string,string>")
     spec = {
-        rules.CONFIRM: ("company", "key", ["company", "register_name", "supersede",
+        rules.CONFIRM: ("company", "key", ["company", "register_name", "source_rule", "supersede",
                                            "acknowledge_agency"],
-                        ["rating", "rows_changed", "shortlist_delta"], strip("rationale")
+                        ["company", "register_name", "rating", "rows_changed",
+                         "shortlist_delta"], strip("rationale")
                         if "rationale" in judged.columns else None),
         rules.APPLICATION: ("job", "job_id", ["job_id", "applied_via", "date_applied",
                                               "notes", "override_reason"],
@@ -322,14 +371,33 @@ def log_rows(judged: DataFrame, kind: str, actor_id: str = "", actor_name: str =
         return F.create_map(*[x for n in names
                               for x in (F.lit(n), blank(F.col(n).cast("string")))])
     action = F.col("action_id") if "action_id" in judged.columns else F.lit("")
-    return judged.filter(F.col("code") == "").select(
+    rows = _new(judged)
+    if "source_rule" not in rows.columns:
+        rows = rows.withColumn("source_rule", F.lit("manual"))
+    before = after = none
+    told = text_map(effects)
+    if kind == rules.CONFIRM and changes is not None:
+        rows = rows.join(_by_job(changes, {"field": "sponsor_match"}), "ord", "left")
+        before, after = [F.coalesce(side, none) for side in ("before", "after")]
+        told = F.map_concat(told, F.create_map(
+            F.lit("job_ids"), F.coalesce("_job_ids", F.lit("[]"))))
+    elif kind != rules.CONFIRM:
+        told = F.map_concat(told, F.create_map(
+            F.lit("job_ids"), F.to_json(F.array("job_id"))))
+        one = {rules.APPLICATION: (("status", F.col("status_before"), F.lit("applied")),
+                                   ("date_applied", F.lit(""), F.col("applied_on"))),
+               rules.STATUS_SET: (("status", F.col("status_before"), F.col("status_after")),)}
+        before, after = [F.create_map(F.col("job_id"), F.to_json(F.struct(
+            *[field[side].alias(field[0]) for field in one[kind]]))) for side in (1, 2)]
+    return rows.select(
         "ord", action.alias("action_id"), F.lit(at).alias("ts"),
         F.struct(F.lit(actor_id).alias("id"), F.lit(actor_name).alias("display_name"),
                  F.lit("batch").alias("via")).alias("actor"),
         F.lit(kind).alias("type"),
         F.struct(F.lit(entity).alias("kind"), F.col(ident).alias("id")).alias("entity"),
         text_map(inputs).alias("input"), "validations", reason.alias("rationale"),
-        text_map(effects).alias("effects"), F.lit(True).alias("reversible"))
+        told.alias("effects"), before.alias("before"), after.alias("after"),
+        F.lit(True).alias("reversible"))
 
 
 def failed_writes(entries: DataFrame, reason: str = "store_locked") -> DataFrame:
@@ -339,7 +407,7 @@ def failed_writes(entries: DataFrame, reason: str = "store_locked") -> DataFrame
         F.concat("type", F.lit(rules.FAILED_SUFFIX)).alias("type"), "entity",
         F.create_map(F.lit("target_log_entry_id"), F.col("id"), F.lit("reason"),
                      F.lit(reason)).alias("input"),
-        F.array().cast(f"array<{VALIDATION.simpleString()}>").alias("validations"),
+        no_validations().alias("validations"),
         F.lit("Store was locked; no rows written.").alias("rationale"),
         F.create_map(F.lit("rows_changed"), F.lit("0")).alias("effects"),
         F.lit(False).alias("reversible"))

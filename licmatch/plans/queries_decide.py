@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from licmatch import rules
+from licmatch.functions import text as tx
 from licmatch.operators import decisions, ingest
 from licmatch.operators import store as st
 from licmatch.plans import oracle as o
@@ -29,10 +30,13 @@ _PROPOSALS = """
     FROM emp WHERE shape <> 'absent' OR c % 5 = 0"""
 
 _JUDGED = f"""
-    SELECT * REPLACE (CASE WHEN code = '' AND NOT supersede AND coalesce(max(code = '') OVER (
-        PARTITION BY key ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE)
-        THEN 'already_resolved' ELSE code END AS code)
-    FROM (SELECT p.ord, p.company, p.supersede, {o.norm('p.company')} AS key, l.rating,
+    SELECT * REPLACE (CASE WHEN code = '' AND NOT supersede AND last_value(
+                               CASE WHEN code = '' THEN register_name END IGNORE NULLS) OVER earlier
+                                <> register_name THEN 'already_resolved' ELSE code END AS code,
+                      CASE WHEN max(code = '') OVER earlier THEN 0 ELSE undecided END AS undecided,
+                      CASE WHEN max(code = '') OVER earlier THEN 0 ELSE delta END AS delta)
+    FROM (SELECT p.ord, p.company, p.register_name, p.supersede, {o.norm('p.company')} AS key,
+                 l.rating,
            CASE WHEN s.n IS NULL THEN 'not_found'
                 WHEN l.key IS NULL THEN 'register_entry_not_found'
                 WHEN a.register_name <> p.register_name AND NOT p.supersede
@@ -49,7 +53,9 @@ _JUDGED = f"""
                           AND {o.disqualified(match="'yes'")} IS NULL) AS delta
                FROM exact_matched GROUP BY k) s ON s.k = {o.norm('p.company')}
     LEFT JOIN lk l ON l.key = {o.norm('p.register_name')}
-    LEFT JOIN al a ON a.key = {o.norm('p.company')}) w"""
+    LEFT JOIN al a ON a.key = {o.norm('p.company')}) w
+    WINDOW earlier AS (PARTITION BY key ORDER BY ord
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
 def _judged_resolutions(t):
@@ -87,6 +93,123 @@ def _(t):
                                                       "sponsor_rating", "changed")
 
 
+# Five proposals a company: a name, the same again, another one, another one superseding, and the
+# first action once more.
+_REPEATED = """
+    SELECT CAST(e.c * 10 + n.n AS BIGINT) AS ord, e.name AS company,
+           CASE WHEN n.n IN (3, 4) THEN (SELECT min(upper(name)) FROM emp WHERE shape = 'exact')
+                WHEN e.c % 7 = 0 THEN 'Unknown Entity' WHEN e.shape = 'suffix'
+                THEN upper(e.name) || ' UK' ELSE upper(e.name) END AS register_name,
+           CASE WHEN e.c % 5 = 0 AND n.n = 1 THEN 'short'
+                ELSE 'Same registered address, checked.' END AS rationale,
+           n.n = 4 AND e.c % 3 > 0 AS supersede, TRUE AS acknowledge_agency,
+           'a' || CAST(e.c AS STRING) || '-' || CAST(CASE n.n WHEN 5 THEN 1 ELSE n.n END
+                                                     AS STRING) AS action_id
+    FROM emp e CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3
+                           UNION ALL SELECT 4 UNION ALL SELECT 5) n
+    WHERE e.shape <> 'trap'"""
+
+_WALKED = f"""
+    WITH RECURSIVE facts AS (
+        SELECT p.*, {o.norm('p.company')} AS key, l.rating AS r, l.key IS NOT NULL AS entry,
+               s.n IS NOT NULL AS tracked, s.undecided, s.delta, a.register_name AS stored,
+               row_number() OVER (PARTITION BY {o.norm('p.company')} ORDER BY p.ord) AS nth
+        FROM ({_REPEATED}) p
+        LEFT JOIN (SELECT k, count(*) AS n, count(*) FILTER (sponsor_match <> 'yes') AS undecided,
+                          count(*) FILTER (sponsor_match <> 'yes'
+                              AND {o.disqualified(match="'yes'")} IS NULL) AS delta
+                   FROM exact_matched GROUP BY k) s ON s.k = {o.norm('p.company')}
+        LEFT JOIN lk l ON l.key = {o.norm('p.register_name')}
+        LEFT JOIN al a ON a.key = {o.norm('p.company')}),
+    judged AS (
+        SELECT key, nth, stored AS before, FALSE AS opened, [] :: VARCHAR[] AS seen,
+               CASE WHEN NOT tracked THEN 'not_found' WHEN NOT entry
+                    THEN 'register_entry_not_found'
+                    WHEN stored <> register_name AND NOT supersede THEN 'already_resolved'
+                    WHEN length(rationale) < 10 THEN 'rationale_required' ELSE '' END AS code,
+               FALSE AS replayed
+        FROM facts WHERE nth = 1
+        UNION ALL
+        SELECT f.key, f.nth, w.now, w.opened2, w.seen2,
+               CASE WHEN list_contains(w.seen2, f.action_id) THEN ''
+                    WHEN NOT f.tracked THEN 'not_found' WHEN NOT f.entry
+                    THEN 'register_entry_not_found'
+                    WHEN w.now <> f.register_name AND NOT f.supersede THEN 'already_resolved'
+                    WHEN length(f.rationale) < 10 THEN 'rationale_required' ELSE '' END,
+               list_contains(w.seen2, f.action_id)
+        FROM (SELECT j.key, j.nth,
+                     CASE WHEN j.code = '' AND NOT j.replayed THEN g.register_name ELSE j.before
+                          END AS now, j.opened OR j.code = '' AS opened2,
+                     CASE WHEN j.code = '' THEN list_append(j.seen, g.action_id) ELSE j.seen END
+                          AS seen2
+              FROM judged j JOIN facts g ON g.key = j.key AND g.nth = j.nth) w
+        JOIN facts f ON f.key = w.key AND f.nth = w.nth + 1)
+    SELECT f.ord, f.key, f.action_id, j.code, j.replayed, j.before AS was, f.register_name,
+           CASE WHEN j.code = '' AND NOT j.opened THEN f.undecided ELSE 0 END AS rows_changed,
+           CASE WHEN j.code = '' AND NOT j.opened THEN f.delta ELSE 0 END AS delta,
+           CASE WHEN j.code = '' THEN f.r ELSE '' END AS rating
+    FROM judged j JOIN facts f ON f.key = j.key AND f.nth = j.nth"""
+
+
+@query("d1_decision_state", f"""
+    SELECT w.ord, w.code, w.replayed, w.rating, w.rows_changed,
+           CASE WHEN w.replayed THEN x.delta ELSE w.delta END AS shortlist_delta,
+           CASE WHEN NOT w.replayed AND w.code = '' AND w.was <> w.register_name
+                THEN 'superseding ' || w.was ELSE '' END AS superseded
+    FROM ({_WALKED}) w
+    LEFT JOIN ({_WALKED}) x ON x.action_id = w.action_id AND x.code = '' AND NOT x.replayed""")
+def _(t):
+    judged = decisions.judge_resolutions(t.sql(_REPEATED), r.exact_matched(t), r.lookup(t),
+                                         t.aliases)
+    told = F.filter("validations", lambda v: v["rule"] == "not_already_resolved")
+    return judged.select(
+        "ord", "code", "replayed", "rating", "rows_changed", "shortlist_delta",
+        F.when(~F.col("replayed") & (F.col("code") == "")
+               & F.element_at(told, 1)["overridden"], F.element_at(told, 1)["detail"])
+        .otherwise("").alias("superseded"))
+
+
+@query("j16_replayed_decisions", f"""
+    SELECT ord, '' AS code, 'e-' || {o.norm('company')} AS log_entry_id,
+           CAST(0 AS BIGINT) AS rows_changed, 'L' AS rating
+    FROM ({_REPEATED}) w WHERE ord % 10 = 4""")
+def _(t):
+    # The log answered these actions before; what it says is returned and nothing changes.
+    asks = t.sql(_REPEATED).filter("ord % 10 = 4").drop("supersede").withColumn(
+        "supersede", F.lit(False))
+    log = asks.select(
+        "action_id", F.concat(F.lit("e-"), tx.normalize_name("company")).alias("id"),
+        F.col("ord").alias("seq"), decisions.no_validations().alias("validations"),
+        F.create_map(F.lit("rating"), F.lit("L"), F.lit("rows_changed"), F.lit("9"))
+        .alias("effects"))
+    judged = decisions.judge_resolutions(asks, r.exact_matched(t), r.lookup(t), t.aliases, log)
+    return judged.select("ord", "code", "log_entry_id", "rows_changed", "rating")
+
+
+@query("d1_log_entries", f"""
+    SELECT w.ord, 'company' AS kind, w.key AS ident, w.rows_changed AS jobs,
+           coalesce(e.ids, '') AS job_ids, coalesce(e.before, '') AS befores
+    FROM ({_WALKED}) w LEFT JOIN (
+        SELECT k, string_agg('"' || id || '"', ',' ORDER BY id) AS ids,
+               string_agg(id || '={{"sponsor_match":"' || sponsor_match || '"}}', ',' ORDER BY id)
+                   AS before
+        FROM exact_matched WHERE sponsor_match <> 'yes' GROUP BY k) e
+      ON e.k = w.key AND w.rows_changed > 0
+    WHERE w.code = '' AND NOT w.replayed""")
+def _(t):
+    rows = r.exact_matched(t)
+    judged = decisions.judge_resolutions(t.sql(_REPEATED), rows, r.lookup(t), t.aliases)
+    entries = decisions.log_rows(judged, rules.CONFIRM, at="2001-08-15",
+                                 changes=decisions.resolution_changes(judged, rows))
+    pairs = F.array_sort(F.transform(F.map_entries("before"), lambda e: F.concat_ws(
+        "=", e["key"], e["value"])))
+    return entries.select(
+        "ord", "entity.kind", F.col("entity.id").alias("ident"),
+        F.element_at("effects", F.lit("rows_changed")).cast("bigint").alias("jobs"),
+        F.regexp_replace(F.element_at("effects", F.lit("job_ids")), r"[\[\]]", "")
+        .alias("job_ids"), F.array_join(pairs, ",").alias("befores"))
+
+
 _APPLICATIONS = f"""
     SELECT ord, CASE WHEN ord % 13 = 0 THEN 'zz' || id ELSE id END AS job_id,
            CASE WHEN ord % 6 = 0 THEN 'pigeon' ELSE 'company site' END AS applied_via,

@@ -1,6 +1,8 @@
 """Merges, edits, decisions, the log and the skew-safe idioms."""
 import datetime as dt
 import hashlib
+import json
+import random
 
 import pytest
 
@@ -456,3 +458,108 @@ def test_verify_log_in_one_row(spark):
     row = audit.verify_log(log, "body", chunk=4, alias_file=disk, replayed=live).first()
     assert tuple(row) == (True, None, 9, 2, 1, False)
     assert tuple(audit.verify_log(log, "body", chunk=4).first()) == (True, None, 9, 0, 0, True)
+
+
+def walked(store_open, stored, asks):
+    """Codes, rows and superseded names of proposals for one company, one after another."""
+    name, opened, answers, out = stored, store_open, {}, []
+    for ask, register_name, supersede, action in asks:
+        if action and action in answers:
+            out.append(("", 0, True))
+            continue
+        if name is not None and name != register_name and not supersede:
+            out.append(("already_resolved", 0, False))
+            continue
+        out.append(("", opened, False))
+        name, opened = register_name, 0
+        if action:
+            answers[action] = ask
+    return out
+
+
+def test_resolutions_are_a_state_machine(spark):
+    rng = random.Random(8)
+    lookup = spark.createDataFrame([(n, "A", i) for i, n in enumerate(("N ONE", "N TWO", "N SIX"))],
+                                   "key string, rating string, ord int")
+    companies = [f"C{i}" for i in range(12)]
+    store = postings(spark, *[posting(3 * i + k, company=c, sponsor_match="yes" if k == 2 else "no")
+                              for i, c in enumerate(companies) for k in range(3)])
+    stored = {c: "N TWO" for c in companies[:4]}
+    aliases = spark.createDataFrame([(c, n, "B", 1) for c, n in stored.items()],
+                                    "company string, register_name string, rating string, "
+                                    "ord bigint")
+    asks = {c: [(0, rng.choice(["N ONE", "N TWO", "N SIX"]), rng.random() < .3,
+                 rng.choice(["", f"{c}-1", f"{c}-2"])) for _ in range(9)] for c in companies}
+    rows, want = [], {}
+    for k in range(9):
+        for c in companies:
+            _, name, supersede, action = asks[c][k]
+            rows.append((len(rows), c, name, "same registered address", supersede, False, action))
+    for c in companies:
+        ords = [r[0] for r in rows if r[1] == c]
+        want |= dict(zip(ords, walked(2, stored.get(c), asks[c])))
+    proposals = spark.createDataFrame(
+        rows, "ord int, company string, register_name string, rationale string, "
+        "supersede boolean, acknowledge_agency boolean, action_id string").repartition(5)
+    judged = decisions.judge_resolutions(proposals, store, lookup, aliases)
+    found = judged.collect()
+    assert {r["ord"]: (r["code"], r["rows_changed"], r["replayed"]) for r in found} == want
+    # A repeat has the validations of the first answer.
+    by_ord = {r["ord"]: r for r in found}
+    for r in found:
+        if r["replayed"]:
+            first = min((x for x in found if x["action_id"] == r["action_id"]
+                         and x["code"] == "" and not x["replayed"]), key=lambda x: x["ord"])
+            assert r["validations"] == by_ord[first["ord"]]["validations"]
+            assert r["rating"] == first["rating"] and r["log_entry_id"] is None
+    fresh = {r["ord"] for r in found if r["code"] == "" and not r["replayed"]}
+    entries = decisions.log_rows(judged, rules.CONFIRM, at="t", changes=decisions
+                                 .resolution_changes(judged, store)).collect()
+    assert {e["ord"] for e in entries} == fresh
+    for e in entries:
+        ids = json.loads(e["effects"]["job_ids"])
+        assert len(ids) == int(e["effects"]["rows_changed"]) == len(e["before"]) == len(e["after"])
+        assert all(json.loads(v) == {"sponsor_match": "yes"} for v in e["after"].values())
+        assert all(json.loads(v) == {"sponsor_match": "no"} for v in e["before"].values())
+
+
+def test_repeated_status_and_application_actions(spark):
+    store = postings(spark, posting(1, title="Graduate Developer", sponsor_match="yes"),
+                     posting(2, status="new", notes=""))
+    moves = spark.createDataFrame(
+        [(1, "2", "screening", "first", "x"), (2, "2", "closed", "", "y"),
+         (3, "2", "screening", "first", "x"), (4, "2", "closed", "again", "z"),
+         (5, "2", "screening", "", "z")],
+        "ord int, job_id string, status string, note string, action_id string")
+    judged = decisions.judge_status_changes(moves, store, TODAY)
+    rows = {r["ord"]: r for r in judged.collect()}
+    assert [(rows[k]["code"], rows[k]["replayed"], rows[k]["rows_changed"])
+            for k in range(1, 6)] == [("", False, 1), ("", False, 1), ("", True, 0),
+                                      ("already_actioned", False, 0), ("", False, 1)]
+    done = {r["id"]: (r["status"], r["notes"]) for r in st.apply_mutations(
+        store, decisions.status_mutations(judged)).collect()}
+    assert done["2"] == ("screening", f"{TODAY}: first")
+    logged = decisions.log_rows(judged, rules.STATUS_SET, at="t").orderBy("ord").collect()
+    assert [e["ord"] for e in logged] == [1, 2, 5]
+    assert json.loads(logged[1]["before"]["2"]) == {"status": "screening"}
+    assert json.loads(logged[1]["after"]["2"]) == {"status": "closed"}
+    log = spark.createDataFrame(
+        [("x", "e9", 4, [], {"status_before": "a", "status_after": "b", "rows_changed": "1"})],
+        "action_id string, id string, seq bigint, validations " +
+        dict(judged.dtypes)["validations"] + ", effects map<string,string>")
+    again = {r["ord"]: r for r in
+             decisions.judge_status_changes(moves, store, TODAY, log).collect()}
+    assert [(again[k]["code"], again[k]["log_entry_id"], again[k]["rows_changed"])
+            for k in (1, 2, 3)] == [("", "e9", 0), ("", None, 1), ("", "e9", 0)]
+    assert again[1]["status_after"] == "b" and again[2]["status_before"] == "new"
+    asks = spark.createDataFrame(
+        [(1, "1", "email", "", "", "", "p"), (2, "1", "email", "", "", "", "p"),
+         (3, "1", "email", "", "", "", "q")],
+        "ord int, job_id string, applied_via string, date_applied string, notes string, "
+        "override_reason string, action_id string")
+    judged = decisions.judge_applications(asks, store, TODAY)
+    rows = {r["ord"]: r for r in judged.collect()}
+    assert [(rows[k]["code"], rows[k]["replayed"], rows[k]["applied_on"]) for k in (1, 2, 3)] == [
+        ("", False, TODAY), ("", True, TODAY), ("already_actioned", False, "")]
+    entry = decisions.log_rows(judged, rules.APPLICATION, at="t").collect()
+    assert len(entry) == 1 and json.loads(entry[0]["effects"]["job_ids"]) == ["1"]
