@@ -56,13 +56,18 @@ def effective_lookup(lookup: DataFrame, aliases: DataFrame | None = None) -> Dat
     overlay = alias_keys(aliases).select(
         "key", normalize_name("register_name").alias("register_key"),
         F.col("rating").alias("alias_rating"))
-    register = base.select(F.col("key").alias("register_key"),
-                           F.col("rating").alias("register_rating"))
+    # The few register entries that the overlay names, so the register is never shuffled by it.
+    named = overlay.select("key").union(overlay.select("register_key")).distinct()
+    found = base.join(named, "key", "left_semi")
+    register = found.select(F.col("key").alias("register_key"),
+                            F.col("rating").alias("register_rating"))
     confirmed = overlay.join(register, "register_key", "left") \
-        .select("key", F.coalesce("register_rating", blank("alias_rating")).alias("rating"))
-    over = confirmed.select("key", F.col("rating").alias("over"))
-    return base.join(over, "key", "full_outer") \
+        .select("key", F.coalesce("register_rating", blank("alias_rating")).alias("over"))
+    laid = base.join(confirmed, "key", "left") \
         .select("key", F.coalesce("over", "rating").alias("rating"))
+    added = confirmed.join(found.select("key"), "key", "left_anti") \
+        .select("key", F.col("over").alias("rating"))
+    return laid.unionByName(added)
 
 
 def match_companies(rows: DataFrame, lookup: DataFrame | None,
@@ -100,14 +105,20 @@ def _order(rows: DataFrame) -> list[str]:
 
 def match_board_rows(rows: DataFrame, boards: DataFrame, lookup: DataFrame,
                      aliases: DataFrame | None = None) -> DataFrame:
-    """Match a feed posting by its board's register name when it has one."""
+    """Match a feed posting by its board's register name when it has one.
+
+    Boards are told apart by family and slug where the rows carry their board's ``slug`` (which
+    goes), else by family and company.
+    """
+    mine = ["source", "slug"] if "slug" in rows.columns and "slug" in boards.columns \
+        else ["source", "company"]
     prefixes = F.create_map(*[F.lit(x) for kv in rules.FAMILY_PREFIXES.items() for x in kv])
     named = boards.filter(strip("register_name") != "").select(
-        "company", F.coalesce(F.try_element_at(prefixes, F.col("ats")), F.col("ats"))
+        mine[1], F.coalesce(F.try_element_at(prefixes, F.col("ats")), F.col("ats"))
         .alias("source"), strip("register_name").alias("_register_name"), "ord")
-    names = first_per_key(named, ["company", "source"], ["ord"]).drop("ord")
-    joined = rows.join(names, ["company", "source"], "left") \
-        .select(*rows.columns, "_register_name")
+    names = first_per_key(named, mine, ["ord"]).drop("ord")
+    joined = rows.join(names, mine, "left").select(
+        *[c for c in rows.columns if c not in mine[1:] or c == "company"], "_register_name")
     return match_companies(joined, lookup, aliases,
                            F.coalesce("_register_name", "company")).drop("_register_name")
 

@@ -127,3 +127,9 @@ def confirmations(ticks: DataFrame, lookup: DataFrame, as_of) -> DataFrame:
     return ticks.join(known, "register_name", "left").select(
         "company", "register_name", blank("rating").alias("rating"),
         F.lit(str(as_of)).alias("confirmed"))
+
+
+def with_confirmations(overlay: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """The alias overlay with confirmations laid in: a company's entry is replaced as a whole."""
+    kept = overlay.join(confirmed.select("company"), "company", "left_anti")
+    return kept.unionByName(confirmed, allowMissingColumns=True)

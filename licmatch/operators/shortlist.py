@@ -10,6 +10,7 @@ from licmatch.operators.frames import first_per_key
 
 CUT_REASON = "previously CUT (see decisions.json)"
 AGENCY_REASON = "agency listing"
+DELISTED_REASON = "delisted (410 Gone)"
 DUPLICATE_REASON = "duplicate listing"
 
 
@@ -174,17 +175,38 @@ def daily_shortlist(rows: DataFrame, rulings: DataFrame | None, as_of, top: int
 
 def drop_histogram(rows: DataFrame, rulings: DataFrame | None, as_of,
                    max_age: int | None = 30, include_agency: bool = False,
-                   subjects: DataFrame | None = None) -> DataFrame:
-    """(reason, rows): why rows are not candidates, duplicates included."""
-    judged = gated(rows, rulings, as_of, max_age, include_agency, subjects=subjects)
+                   subjects: DataFrame | None = None, closures: DataFrame | None = None,
+                   verdicts: DataFrame | None = None) -> DataFrame:
+    """(reason, rows): why rows are not candidates, duplicates included.
+
+    With ``closures`` rows their boards no longer list count as such, and with ``verdicts`` (id,
+    verdict) the candidates that turned out dead as delisted.
+    """
+    judged = gated(rows, rulings, as_of, max_age, include_agency, closures, subjects)
     # One pass: rows still in are counted per duplicate key, all but one of a key repeat.
     still_in = F.col("drop_reason").isNull()
     keyed = judged.groupBy(
         "drop_reason", F.when(still_in, normalise("title")).alias("_t"),
-        F.when(still_in, normalise("company")).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
-    return keyed.groupBy(F.coalesce("drop_reason", F.lit(DUPLICATE_REASON)).alias("reason")) \
-        .agg(F.sum(F.when(still_in, F.col("n") - 1).otherwise(F.col("n"))).alias("rows")) \
-        .filter(F.col("rows") > 0)
+        F.when(still_in, normalise("company")).alias("_c")).agg(
+            F.count(F.lit(1)).alias("n"), F.min_by("id", "ord").alias("id"))
+    known = keyed if verdicts is None else attach_verdict(keyed, verdicts, still_in)
+    dead = F.lit(0) if verdicts is None else F.when(
+        F.col("_dead"), F.lit(1)).otherwise(F.lit(0))
+    counted = known.select(
+        F.explode(F.array(
+            F.struct(F.coalesce("drop_reason", F.lit(DUPLICATE_REASON)).alias("reason"),
+                     F.when(still_in, F.col("n") - 1).otherwise(F.col("n")).alias("rows")),
+            F.struct(F.lit(DELISTED_REASON).alias("reason"),
+                     dead.cast("bigint").alias("rows")))).alias("drop")).select("drop.*")
+    return counted.groupBy("reason").agg(F.sum("rows").alias("rows")).filter(F.col("rows") > 0)
+
+
+def attach_verdict(keyed: DataFrame, verdicts: DataFrame, candidate: Column) -> DataFrame:
+    """Mark candidates from the aggregator that have a dead verdict."""
+    dead = verdicts.filter(F.col("verdict") == "dead").select("id").distinct() \
+        .withColumn("_mark", F.lit(True))
+    return keyed.join(dead, "id", "left").withColumn(
+        "_dead", candidate & F.col("_mark") & ~F.col("id").contains(":"))
 
 
 # --- apply shortlist --------------------------------------------------------------------

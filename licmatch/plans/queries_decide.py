@@ -288,6 +288,24 @@ def _(t):
     return review.confirmations(ticks, r.lookup(t), TODAY).drop("confirmed")
 
 
+@query("d4_overlay_after_ticks", """
+    SELECT coalesce(t.company, a.company) AS company,
+           coalesce(t.register_name, a.register_name) AS register_name,
+           CASE WHEN t.company IS NULL THEN a.rating ELSE coalesce(l.rating, '') END AS rating,
+           CASE WHEN t.company IS NULL THEN a.actor ELSE '' END AS actor
+    FROM (SELECT name AS company, CASE WHEN arg_max(c % 3, c) = 0 THEN upper(name) || ' UK'
+                 ELSE upper(name) || ' GROUP' END AS register_name
+          FROM emp WHERE c % 3 = 0 OR c % 2 = 0 GROUP BY name
+          UNION ALL SELECT 'Fixed ' || (c % 40), 'FIXED ' || max(c) FROM emp
+                    WHERE c % 5 = 0 GROUP BY c % 40) t
+    FULL JOIN aliases a ON a.company = t.company LEFT JOIN lk l ON l.key = t.register_name""")
+def _(t):
+    from licmatch.operators import review
+    ticks = reports.read_ticks(reports.split_blocks(t.ticked, "body", "ord"), ["ord", "pos"])
+    after = review.with_confirmations(t.aliases, review.confirmations(ticks, r.lookup(t), TODAY))
+    return after.select("company", "register_name", "rating", tx.blank("actor").alias("actor"))
+
+
 @query("d5_failed_writes", """
     SELECT seq AS ord, type || '.failed' AS type, id AS target_id FROM dlog
     WHERE type = 'alias.confirm'""")

@@ -7,7 +7,7 @@ from licmatch import rules
 from licmatch.functions import gates
 from licmatch.functions import people as pf
 from licmatch.functions import text as tx
-from licmatch.operators import (audit, frames, ingest, licence, people, review, search_index,
+from licmatch.operators import (audit, contacts, frames, ingest, licence, people, review, search_index,
                                 shortlist)
 from licmatch.operators import store as st
 from licmatch.operators import views
@@ -16,6 +16,7 @@ from licmatch.plans import relations as r
 from licmatch.plans.fixtures import AS_OF
 from licmatch.plans.queries_scan import _BIO, _bios, _signal_sql
 from licmatch.plans.registry import query
+from licmatch.sources import feeds
 from licmatch.sources.staging import staged
 
 TODAY = AS_OF
@@ -59,6 +60,29 @@ def _(t):
         .select("ord", "sponsor_match", "sponsor_rating")
 
 
+@query("j3_boards_by_slug", f"""
+    SELECT f.id, CASE WHEN l.key IS NOT NULL THEN 'yes' ELSE 'no' END AS sponsor_match,
+           coalesce(l.rating, '') AS sponsor_rating
+    FROM (SELECT CASE p.source WHEN 'gh' THEN 'gh:' || p.ord WHEN 'ashby' THEN 'ashby:x' || p.ord
+                      ELSE 'lever:y' || p.ord END AS id,
+                 {o.norm("coalesce(b.name, p.company)")} AS k
+          FROM postings p LEFT JOIN (
+              SELECT c, ' Filler' || (c % 34) || ' x' AS name FROM emp WHERE c % 3 = 0
+              UNION ALL SELECT c, name FROM emp WHERE c % 3 = 1) b ON b.c = p.ord
+          WHERE p.source <> 'adzuna') f LEFT JOIN lk l ON l.key = f.k""")
+def _(t):
+    # Two boards may have one company and family; the slug says which one a posting is from.
+    boards = t.sql("""
+        SELECT 'any' AS company, f.ats, 'b' || CAST(e.c AS STRING) AS slug,
+               CASE e.c % 3 WHEN 0 THEN ' Filler' || CAST(e.c % 34 AS STRING) || ' x'
+                    WHEN 1 THEN e.name ELSE '' END AS register_name, CAST(e.c AS BIGINT) AS ord
+        FROM emp e CROSS JOIN (SELECT 'greenhouse' AS ats UNION ALL SELECT 'ashby'
+                               UNION ALL SELECT 'lever') f""")
+    rows = feeds.board_rows(t.fetches, TODAY, with_slug=True)
+    return licence.match_board_rows(rows, boards, r.lookup(t)) \
+        .select("id", "sponsor_match", "sponsor_rating")
+
+
 @query("j4_resolution", f"""
     SELECT p.ord, x.method, x.register_name, x.rating, x.confirmed_by, x.confirmed_at
     FROM postings p JOIN resolved x ON x.key = {o.norm('p.company')}""")
@@ -384,6 +408,24 @@ def _(t):
     return shortlist.drop_histogram(r.matched(t), t.rulings, TODAY, subjects=t.postings)
 
 
+@query("a7_drops_with_delisted", """
+    SELECT reason, count(*) AS rows FROM (
+        SELECT id, coalesce(gate, CASE WHEN verdict = 'CUT'
+                        THEN 'previously CUT (see decisions.json)' WHEN is_ag
+                        THEN 'agency listing' END,
+                   CASE WHEN row_number() OVER (PARTITION BY tkey, ckey,
+                        gate IS NULL AND coalesce(verdict, '') <> 'CUT' AND NOT is_ag
+                        ORDER BY ord) > 1 THEN 'duplicate listing' END,
+                   CASE WHEN source = 'adzuna' AND ord % 3 = 0 THEN 'delisted (410 Gone)' END)
+                   AS reason
+        FROM gated) g WHERE reason IS NOT NULL GROUP BY 1""")
+def _(t):
+    verdicts = t.postings.filter("ord % 3 < 2").select("id", F.when(
+        F.col("ord") % 3 == 0, "dead").otherwise("live").alias("verdict"))
+    return shortlist.drop_histogram(r.matched(t), t.rulings, TODAY, subjects=t.postings,
+                                    verdicts=verdicts)
+
+
 @query("a7_ingest_drops", """
     SELECT CASE WHEN starts_with(drop_reason, 'not a UK') THEN 'not a UK location'
                 ELSE drop_reason END AS reason, count(*) AS rows
@@ -502,6 +544,37 @@ def _(t):
                        tx.blank(F.try_element_at("routes", F.lit(1))["url"]).alias("route"))
 
 
+@query("a15_contacts", f"""
+    SELECT substring(sha256(company_key || '|' || who_key), 1, 12) AS id, company, name, source,
+           handle, url, location, 'found' AS status, day AS found_on, '' AS contacted_on, route,
+           jobs, notes
+    FROM (SELECT lower(trim(company)) AS company_key, {_WHO} AS who_key,
+                 arg_min(trim(company), ord) AS company, arg_min(name, ord) AS name,
+                 arg_min(source, ord) AS source, arg_min(handle, ord) AS handle,
+                 coalesce(arg_min(url, ord) FILTER (url <> ''), '') AS url,
+                 coalesce(arg_min(location, ord) FILTER (location <> ''), '') AS location,
+                 coalesce(arg_max(route_url, ord) FILTER (route_url <> ''), '') AS route,
+                 arg_min(day, ord) AS day,
+                 coalesce(string_agg(notes, chr(10) ORDER BY ord) FILTER (notes <> ''), '') AS notes
+          FROM touches GROUP BY 1, 2) c
+    JOIN (SELECT company_key, who_key, string_agg(job_id, ',' ORDER BY first_ord) AS jobs FROM (
+              SELECT lower(trim(company)) AS company_key, {_WHO} AS who_key, job_id,
+                     min(ord) AS first_ord FROM touches GROUP BY 1, 2, 3) j GROUP BY 1, 2) l
+      USING (company_key, who_key)""")
+def _(t):
+    saves = r.updates(t)
+    # Stored contacts and two batches that are folded in the wrong order.
+    stored = staged(contacts.contacts(contacts.from_saves(saves.filter("ord < 300"), TODAY)))
+    late, early = (contacts.from_saves(saves.filter(cut), TODAY)
+                   for cut in ("ord >= 500", "ord >= 300 AND ord < 500"))
+    state = contacts.merge(contacts.merge(late, early), contacts.from_contacts(stored))
+    rows = contacts.contacts(state)
+    return rows.select(
+        "id", "company", "name", "source", "handle", "url", "location", "status", "found_on",
+        "contacted_on", tx.blank(F.try_element_at("routes", F.lit(1))["url"]).alias("route"),
+        F.array_join("job_ids", ",").alias("jobs"), "notes")
+
+
 @query("a15_contact_jobs", f"""
     SELECT lower(trim(company)) AS company_key, {_WHO} AS who_key, job_id,
            min(ord) AS first_ord FROM touches GROUP BY 1, 2, 3""")
@@ -787,7 +860,6 @@ def _(t):
     SELECT source, count(*) AS rows, count(DISTINCT company) AS companies FROM postings
     GROUP BY source""")
 def _(t):
-    from licmatch.sources import feeds
     boards = feeds.board_rows(t.fetches, TODAY)
     found = feeds.aggregator_rows(feeds.aggregator_jobs(t.aggregated, "body", "ord", "tier"),
                                   TODAY, "tier", keep=["ord"])

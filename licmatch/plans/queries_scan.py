@@ -197,6 +197,19 @@ def _(t):
     return tables.shortlist_view(r.matched(t))
 
 
+@query("s14_rejections", f"""
+    SELECT {o.norm('name')} AS key, 'C ' || arg_max(c, c) AS register_name FROM emp
+    GROUP BY 1""")
+def _(t):
+    # Both spellings of an employer become one key; the later entry counts.
+    entry = F.concat(F.lit('"'), "name", F.lit('":["A '), "c", F.lit('","B"],"'), F.upper("name"),
+                     F.lit(' Ltd":["C '), "c", F.lit('"]'))
+    files = t.emp.groupBy((F.xxhash64(tx.normalize_name("name")) % 16).alias("file")).agg(F.concat(
+        F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+            "c", entry.alias("text")))), lambda e: e["text"]), ","), F.lit("}")).alias("value"))
+    return tables.explode_rejections(files)
+
+
 _OVERLAY = """
     SELECT c, CASE WHEN c % 9 = 0 THEN '{broken' ELSE '{"' || name || '":{"register_name":"'
            || upper(name) || ' UK","rating":"A"},"' || name || ' 2":{"register_name":"X"}}'
@@ -1034,7 +1047,9 @@ def _(t):
 def _(t):
     raw = t.touches.withColumn("status", F.when(F.col("ord") % 9 == 0, "zzz")
                                .otherwise(F.col("status")))
-    return raw.select("ord", F.col("status").isin(*rules.CONTACT_STATUSES).alias("known"))
+    changes = raw.select("ord", F.col("ord").cast("string").alias("id"), "status")
+    judged = decisions.judge_contact_changes(changes.select("id"), changes)
+    return judged.select("ord", (F.col("code") == "").alias("known"))
 
 
 @query("f19_point_lookup", f"""

@@ -164,14 +164,16 @@ def job_order(order: str = "ord", place: str = "pos") -> Column:
         .cast("decimal(38,0)")
 
 
-def board_rows(fetches: DataFrame, as_of, exact: bool = True, listed_only: bool = False
-               ) -> DataFrame:
+def board_rows(fetches: DataFrame, as_of, exact: bool = True, listed_only: bool = False,
+               with_slug: bool = False) -> DataFrame:
     """All employer-board families of a fetch log (ats, company, body, ord) in one schema, in
     one pass over the payloads.
 
-    ``listed_only`` leaves out the jobs that their board marks as not listed.
+    ``listed_only`` leaves out the jobs that their board marks as not listed; ``with_slug`` keeps
+    the board's slug, which ``match_board_rows`` tells boards apart by.
     """
-    jobs = board_jobs(fetches, "company", "ord").withColumn("ord", job_order())
+    slug = ["slug"] if with_slug else []
+    jobs = board_jobs(fetches, "company", "ord", *slug).withColumn("ord", job_order())
     job = F.col("job")
     if listed_only:
         jobs = jobs.filter((F.col("ats") != "ashby")
@@ -189,12 +191,12 @@ def board_rows(fetches: DataFrame, as_of, exact: bool = True, listed_only: bool
     names = ["company_name", "title", "location", "contract", "category", "url", "description"]
     prefix = F.create_map(*[F.lit(x) for kv in rules.FAMILY_PREFIXES.items() for x in kv])
     flat = jobs.select(
-        "ord", "company", F.try_element_at(prefix, F.col("ats")).alias("source"),
+        "ord", "company", *slug, F.try_element_at(prefix, F.col("ats")).alias("source"),
         strip(_at(job, "$.id")).alias("job_id"), *[field(n).alias(n) for n in names],
         field("posted", "variant").alias("posted"),
         field("deadline", "variant").alias("deadline"))
     row = flat.select(
-        "ord", F.concat("source", F.lit(":"), "job_id").alias("id"),
+        "ord", *slug, F.concat("source", F.lit(":"), "job_id").alias("id"),
         strip("title").alias("title"), or_else("company", "company_name").alias("company"),
         strip("location").alias("location"), tx.contract_type("contract").alias("contract_type"),
         F.substring(blank("category"), 1, 60).alias("category"),
@@ -203,7 +205,7 @@ def board_rows(fetches: DataFrame, as_of, exact: bool = True, listed_only: bool
         F.lit(str(as_of)).alias("date_first_seen"), F.lit(rules.DEFAULT_STATUS).alias("status"),
         F.substring(tx.clean_html("description", exact), 1, 2000).alias("description"),
         "source", dates.json_date("deadline").alias("apply_deadline"))
-    return conform(row, "ord")
+    return conform(row, "ord", *slug)
 
 
 def aggregator_rows(jobs: DataFrame, as_of, tier: Column | str,

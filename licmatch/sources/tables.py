@@ -112,10 +112,13 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_rejections(raw: DataFrame, text: str = "value") -> DataFrame:
-    """(key, register_name) pairs; keys are normalised on read."""
-    rows = explode_map(raw, text, schema.REJECTION_MAP, "company")
-    return rows.select(normalize_name("company").alias("key"),
-                       F.explode("value").alias("register_name"))
+    """(key, register_name) pairs; keys are normalised on read, and of several entries that become
+    one key the last counts."""
+    rows = explode_map(raw.select(F.col(text), F.monotonically_increasing_id().alias("_row")), text,
+                       schema.REJECTION_MAP, "company")
+    last = rows.groupBy(normalize_name("company").alias("key")).agg(
+        F.max_by("value", F.struct("_row", "ord")).alias("value"))
+    return last.select("key", F.explode("value").alias("register_name"))
 
 
 def read_rejections(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from licmatch.operators import licence, review, search_index, shortlist
+from licmatch.operators import contacts, licence, review, search_index, shortlist
 
 ENTRIES = {"MONZO BANK": "A", "ROOFOODS LTD T A DELIVEROO": "A", "AMENTUM UK": "A",
            "AMAZON CHARITABLE TRUST": "A", "AMAZON UK SERVICES": "A", "SYNTASSO": "A",
@@ -265,3 +265,75 @@ def test_hot_company_is_split(spark):
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def test_overlay_is_laid_over_the_register(spark):
+    lookup = spark.createDataFrame([("A", "A", 1), ("B", "B", 2), ("C UK", "A", 3)],
+                                   "key string, rating string, ord int")
+    aliases = spark.createDataFrame(
+        [("B", "C UK", "X", 1), ("new", "C UK", "X", 2), ("other", "gone", "Y", 3),
+         ("plain", "gone", None, 4)],
+        "company string, register_name string, rating string, ord bigint")
+    found = {tuple(x) for x in licence.effective_lookup(lookup, aliases).collect()}
+    assert found == {("A", "A"), ("B", "A"), ("C UK", "A"), ("NEW", "A"), ("OTHER", "Y"),
+                     ("PLAIN", "")}
+    plan = licence.effective_lookup(lookup, aliases)._jdf.queryExecution().optimizedPlan()
+    assert "FullOuter" not in plan.toString()
+
+
+def test_boards_by_slug(spark):
+    boards = spark.createDataFrame(
+        [("Acme", "lever", "one", "ACME ONE", 1), ("Acme", "lever", "two", "ACME TWO", 2)],
+        "company string, ats string, slug string, register_name string, ord bigint")
+    rows = spark.createDataFrame([("1", "Acme", "lever", "one"), ("2", "Acme", "lever", "two"),
+                                  ("3", "Acme", "lever", None)],
+                                 "id string, company string, source string, slug string")
+    lookup = spark.createDataFrame([("ACME TWO", "A", 1)], "key string, rating string, ord int")
+    found = {r["id"]: r["sponsor_match"] for r in
+             licence.match_board_rows(rows, boards, lookup).collect()}
+    assert found == {"1": "no", "2": "yes", "3": "no"}
+    assert "slug" not in licence.match_board_rows(rows, boards, lookup).columns
+
+
+def test_contacts_fold_in_any_order(spark):
+    rng = random.Random(4)
+    saves = [(i, rng.choice(["Acme", " acme", "Beta"]), rng.choice(["", "h1", "H1", "h2"]),
+              rng.choice(["", "Jane", "Bob"]), "manual", rng.choice(["", f"http://{i}"]),
+              rng.choice(["", f"L{i}"]), rng.choice(["", "j1", "j2", f"j{i}"]),
+              rng.choice(["", f" note {i} "]),
+              [("site", f"v{i}", "", "")] if rng.random() < .3 else []) for i in range(60)]
+    columns = ("ord int, company string, handle string, name string, source string, url string, "
+               "location string, job_id string, notes string, "
+               "routes array<struct<kind:string,value:string,url:string,note:string>>")
+    want, today = {}, "2026-08-14"
+    for _, company, handle, name, source, url, location, job, notes, routes in saves:
+        key = (company.strip().lower(), (handle or name).strip().lower())
+        if key not in want:
+            want[key] = {"name": name or handle, "handle": handle, "url": url, "routes": routes,
+                         "location": location, "job_ids": [job] if job else [],
+                         "notes": notes.strip(), "company": company.strip(),
+                         "status": "found", "found_on": today, "contacted_on": ""}
+            continue
+        old = want[key]
+        if job and job not in old["job_ids"]:
+            old["job_ids"].append(job)
+        if notes.strip():
+            old["notes"] = f"{old['notes']}\n{notes.strip()}".strip()
+        for field, value in (("url", url), ("location", location), ("name", name)):
+            old[field] = old[field] or value
+        old["routes"] = routes or old["routes"]
+    frame = spark.createDataFrame(saves, columns)
+    whole = contacts.contacts(contacts.from_saves(frame, today))
+    stored = contacts.contacts(contacts.from_saves(frame.filter("ord < 20"), today))
+    late, early = (contacts.from_saves(frame.filter(c), today) for c in ("ord >= 40", "ord >= 20 "
+                                                                          "and ord < 40"))
+    folded = contacts.contacts(contacts.merge(late, contacts.merge(
+        early, contacts.from_contacts(stored))))
+    for result in (whole, folded):
+        got = {(r["company_key"], r["who_key"]): r for r in result.collect()}
+        assert set(got) == set(want)
+        for key, fields in want.items():
+            for name, value in fields.items():
+                found = [tuple(x) for x in got[key][name]] if name == "routes" else got[key][name]
+                assert found == value, (key, name)
+    assert {r["id"] for r in whole.collect()} == {r["id"] for r in folded.collect()}
