@@ -10,7 +10,7 @@ import pytest
 
 from licmatch.operators import ingest
 from licmatch.sources import feeds
-from licmatch.streaming import jobs, limiter, verdicts
+from licmatch.streaming import jobs, limiter, verdict_state, verdicts
 from tests.test_sources import ASHBY, GREENHOUSE, LEVER
 
 TODAY = "2026-08-14"
@@ -204,3 +204,50 @@ def test_limiter_stream(spark, folder):
     stream = spark.readStream.schema(columns).json(path)
     found = memory(jobs.limit_stream(stream, 3, 60.0), "hits", "append")
     assert {r["ord"] for r in found.collect()} == plain_limiter(hits, 3, 60.0)
+
+
+def test_verdict_state_equals_its_batch_twin(spark, folder):
+    """State after a drain in three runs: dead for good, live for three days, unknown never."""
+    rng = random.Random(6)
+    start = 1_767_225_600_000                              # 2026-01-01
+    probes = [(f"j{rng.randrange(12)}", rng.choice(["live", "live", "unknown", "dead"])
+               if rng.random() < .3 else rng.choice(["live", "unknown"]),
+               start + i * 7_200_000) for i in range(90)]
+    columns = "id string, verdict string, at bigint"
+    path = os.path.join(folder, "probes")
+    kept = 0
+    for part in range(3):
+        rows = probes[30 * part:30 * part + 30]
+        spark.createDataFrame(rows, columns).withColumn("checked", F.timestamp_millis("at")) \
+            .coalesce(1).write.parquet(f"{path}/part={part}")
+        stream = spark.readStream.schema("id string, verdict string, at bigint, checked timestamp") \
+            .parquet(f"{path}/part=*")
+        verdict_state.run(stream, os.path.join(folder, "out"), os.path.join(folder, "ck"))
+        now, want = probes[30 * part + 29][2] - 600_000, {}
+        for ident, verdict, at in probes[:30 * part + 30]:
+            if verdict == "dead":
+                want[ident] = ("dead", None)
+            elif verdict == "live" and want.get(ident, ("", None))[0] != "dead":
+                want[ident] = ("live", at)
+        want = {k: v for k, v in want.items() if v[0] == "dead" or v[1] + 3 * 86_400_000 > now}
+        found = {r["id"]: (r["verdict"], r["live_ms"]) for r in
+                 verdict_state.stored(spark, os.path.join(folder, "ck")).collect()}
+        assert found == want
+        kept = max(kept, len(found))
+    changes = spark.read.schema(verdict_state.CHANGES).json(os.path.join(folder, "out"))
+    assert {r["verdict"] for r in changes.select("verdict").distinct().collect()} \
+        >= {"live", "dead"} and kept <= 12
+
+
+def test_streams_compact_their_tables(spark, folder):
+    path = os.path.join(folder, "rows")
+    for i in range(4):
+        spark.createDataFrame([(f"{i}", f"t{i}", i), ("same", f"t{i}", i)],
+                              "id string, title string, ord bigint") \
+            .coalesce(1).write.json(f"{path}/part={i}")
+    stream = spark.readStream.schema("id string, title string, ord bigint") \
+        .option("maxFilesPerTrigger", 1).json(f"{path}/part=*")
+    drain(jobs.upsert_stream(stream, folder, os.path.join(folder, "ck"), compact_after=2))
+    store = jobs.posting_store(spark, folder)
+    assert {r["id"] for r in store.read().collect()} == {"0", "1", "2", "3", "same"}
+    assert store.read().count() == 5 and len(store.manifest()["deltas"]) < 2
