@@ -105,8 +105,8 @@ _REPEATED = """
            n.n = 4 AND e.c % 3 > 0 AS supersede, TRUE AS acknowledge_agency,
            'a' || CAST(e.c AS STRING) || '-' || CAST(CASE n.n WHEN 5 THEN 1 ELSE n.n END
                                                      AS STRING) AS action_id
-    FROM emp e CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3
-                           UNION ALL SELECT 4 UNION ALL SELECT 5) n
+    FROM emp e JOIN (SELECT 0 AS z, 1 AS n UNION ALL SELECT 0, 2 UNION ALL SELECT 0, 3
+                     UNION ALL SELECT 0, 4 UNION ALL SELECT 0, 5) n ON n.z = e.c * 0
     WHERE e.shape <> 'trap'"""
 
 _WALKED = f"""

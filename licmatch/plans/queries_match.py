@@ -76,8 +76,8 @@ def _(t):
         SELECT 'any' AS company, f.ats, 'b' || CAST(e.c AS STRING) AS slug,
                CASE e.c % 3 WHEN 0 THEN ' Filler' || CAST(e.c % 34 AS STRING) || ' x'
                     WHEN 1 THEN e.name ELSE '' END AS register_name, CAST(e.c AS BIGINT) AS ord
-        FROM emp e CROSS JOIN (SELECT 'greenhouse' AS ats UNION ALL SELECT 'ashby'
-                               UNION ALL SELECT 'lever') f""")
+        FROM emp e JOIN (SELECT 0 AS z, 'greenhouse' AS ats UNION ALL SELECT 0, 'ashby'
+                         UNION ALL SELECT 0, 'lever') f ON f.z = e.c * 0""")
     rows = feeds.board_rows(t.fetches, TODAY, with_slug=True)
     return licence.match_board_rows(rows, boards, r.lookup(t)) \
         .select("id", "sponsor_match", "sponsor_rating")
