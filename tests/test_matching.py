@@ -192,6 +192,25 @@ def test_rulings_equal_a_plain_scan(spark):
         assert found[i] == want, (company, title)
 
 
+def test_only_substrings_that_may_be_ruled_on_leave_the_expansion(spark):
+    """Ruling parts of many lengths: a name meets those it contains, not all its substrings."""
+    word = lambda i: "".join(chr(97 + i * k % 26) for k in (1, 3, 7, 11, 5, 9, 15, 17))
+    parts = [" ".join(word(i * 7 + j) for j in range(3))[:6 + i % 18] for i in range(60)]
+    rulings = spark.createDataFrame(
+        [("company", p, "CUT", "r", "d", i) for i, p in enumerate(parts)],
+        "kind string, ruling_key string, verdict string, reason string, verified string, "
+        "ord bigint")
+    known = shortlist.normal_rulings(rulings)
+    names = [" ".join(word(i * 5 + j) for j in range(4)) for i in range(100)]
+    texts = spark.createDataFrame([(n,) for n in names], "name string")
+    lengths = F.array(*[F.lit(n) for n in sorted({len(p.strip()) for p in parts})])
+    found = shortlist._with_parts(texts, "name", lengths, shortlist._sketch(
+        F.col("company_part"), known), "company_part").distinct().collect()
+    want = {(n, p.strip()) for n in names for p in parts if p.strip() in n}
+    assert want and want <= {tuple(r) for r in found}
+    assert len(found) < len(want) + 20
+
+
 def test_age_limit_stands_down_when_verified():
     assert shortlist.age_limit(None, True) is None
     assert shortlist.age_limit(None, False) == 30
