@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from licmatch import rules
-from licmatch.operators import audit, decisions, frames, hash_tree, ingest, people
+from licmatch.operators import audit, decision_fold, decisions, frames, hash_tree, ingest, people
 from licmatch.operators import store as st
 from licmatch.operators import views
 from tests.test_sources import posting, postings
@@ -563,3 +563,59 @@ def test_repeated_status_and_application_actions(spark):
         ("", False, TODAY), ("", True, TODAY), ("already_actioned", False, "")]
     entry = decisions.log_rows(judged, rules.APPLICATION, at="t").collect()
     assert len(entry) == 1 and json.loads(entry[0]["effects"]["job_ids"]) == ["1"]
+
+
+def test_proposals_that_repeat_nothing_are_dealt_out(spark):
+    """A null in ``repeats`` must not send the whole batch to one partition."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        judged = spark.range(400).select(
+            F.col("id").alias("ord"), F.lit("").alias("code"),
+            decisions.no_validations().alias("validations"), F.lit(1).alias("rows_changed"),
+            F.when(F.col("id") == 7, F.lit(3)).cast("bigint").alias("repeats"))
+        done = decisions.answered(judged, [], ["rows_changed"])
+        assert [r["ord"] for r in done.filter("replayed").collect()] == [7]
+        sizes = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400 and max(sizes) < 200
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_proposals_for_missing_jobs_are_not_walked(spark, monkeypatch):
+    def walk(rule):
+        def found_only(batches):
+            import pandas as pd
+            for batch in batches:
+                assert batch["stored"].notna().all()
+                yield pd.DataFrame({"_ord": batch["ord"], "state_before": batch["stored"],
+                                    "accepted_before": 0, "repeats": None})
+        return found_only
+    monkeypatch.setattr(decision_fold, "_walk", walk)
+    store = postings(spark, posting(1, status="new"))
+    moves = spark.createDataFrame(
+        [(i, "zz", "applied", "x") for i in range(5)] + [(9, "1", "applied", "x")],
+        "ord int, job_id string, status string, note string")
+    codes = {r["ord"]: r["code"] for r in
+             decisions.judge_status_changes(moves, store, TODAY).collect()}
+    assert codes == {**{i: "not_found" for i in range(5)}, 9: ""}
+
+
+def test_many_notes_of_a_contact_are_joined_at_once(spark):
+    """Appending note by note copies all that is there for each of them."""
+    contacts_ = spark.createDataFrame(
+        [("1", "found", "", " old "), ("2", "found", "", " old "), ("3", "found", "", "")],
+        "id string, status string, contacted_on string, notes string")
+    changes = spark.createDataFrame(
+        [("1", "found", f" n{i} " if i % 3 else "  ", i) for i in range(9)]
+        + [("2", "found", " ", 20), ("3", "found", "only", 21)],
+        "id string, status string, note string, ord int")
+    moved = decisions.contact_status_changes(contacts_, changes, TODAY)
+    lines = "\n".join(f"{TODAY}: n{i}" for i in range(9) if i % 3)
+    assert {r["id"]: r["notes"] for r in moved.collect()} == {
+        "1": f"old\n{lines}", "2": " old ", "3": f"{TODAY}: only"}
+    assert "aggregate(" not in moved._jdf.queryExecution().optimizedPlan().toString()
