@@ -4,7 +4,7 @@ import os
 import random
 from collections import deque
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 import pytest
 
@@ -251,3 +251,62 @@ def test_streams_compact_their_tables(spark, folder):
     store = jobs.posting_store(spark, folder)
     assert {r["id"] for r in store.read().collect()} == {"0", "1", "2", "3", "same"}
     assert store.read().count() == 5 and len(store.manifest()["deltas"]) < 2
+
+
+def test_verdict_of_an_id_needs_few_calls_to_its_state():
+    """Plain rows go in, a later live verdict moves no timer, unknown ones don't read the state."""
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def exists(self):
+            return self.get() is not None
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), []
+
+        def getValueState(self, *_):
+            return self.held
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        def __init__(self, watermark, expiry=None):
+            self.watermark, self.expiry = watermark, expiry
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+        def getExpiryTimeInMs(self):
+            return self.expiry
+
+    def told(rows):
+        return [(r.verdict, r.at_ms) for r in rows]
+
+    day, handle, state = 86_400_000, Handle(), verdict_state.VerdictState()
+    state.init(handle)
+
+    def put(watermark, *seen):
+        return told(state.handleInputRows(("j",), iter([Row(verdict=v, at_ms=at)
+                                                        for v, at in seen]), Times(watermark)))
+
+    def fire(at, watermark):
+        return told(state.handleExpiredTimer(("j",), Times(watermark), Times(watermark, at)))
+    assert put(0, ("unknown", 1)) == [] and handle.held.calls == 0
+    assert put(0, ("live", 10), ("live", 5)) == [("live", 10)] and handle.timers == [3 * day + 10]
+    assert put(20, ("live", day)) == [] and handle.timers == [3 * day + 10]
+    assert fire(3 * day + 10, 3 * day + 20) == [] and handle.timers[1:] == [4 * day]
+    assert fire(4 * day, 4 * day) == [("expired", 4 * day)] and handle.held.value is None
+    assert put(5 * day, ("dead", 9), ("live", 6 * day), ("dead", 8)) == [("dead", 8)]
+    assert fire(9 * day, 9 * day) == [] and handle.held.value == (True, None)
