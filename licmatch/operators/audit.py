@@ -12,9 +12,11 @@ from licmatch import rules
 from licmatch.functions.text import blank
 from licmatch.operators import hash_tree
 from licmatch.operators.frames import dense_sequence
-from licmatch.sources.staging import staged
+from licmatch.sources.staging import shared_folder, staged
 
 CHAIN_CHUNK = 256
+#: Entries of an unbroken chain that one task sorts and folds at a time.
+FOLD_STEP = 2 ** 20
 
 
 def digest(text: Column | str) -> Column:
@@ -120,11 +122,20 @@ def chain(entries: DataFrame, body: str = "body", chunk: int = CHAIN_CHUNK,
 
 
 def _fold(rows: DataFrame, body: str, start: Column) -> DataFrame:
-    """(seq, prev_hash, hash) of a hash chain over ``rows`` in the order of ``seq``.
+    """``rows`` with prev_hash and hash of a hash chain over them in the order of ``seq``.
 
-    Every hash needs the one before, so one task reads all rows; it holds one batch of them and
-    the last hash, and the sort before it spills.
+    Every hash needs the one before, so the rows are written down in steps of ``FOLD_STEP``
+    numbers and folded step after step; only the last hash goes from one to the next. A task
+    sorts one step, whatever the length of the chain.
     """
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    cut = rows.withColumn("_step", F.expr(f"cast(seq as bigint) div {FOLD_STEP}"))
+    cut.repartition("_step").sortWithinPartitions("_step", "seq").write.partitionBy("_step") \
+        .parquet(f"{folder}/rows")
+    kept = spark.read.schema(cut.schema).parquet(f"{folder}/rows")
+    links = "seq bigint, prev_hash string, hash string"
+
     def fold(batches):
         last = None
         for rows in batches:
@@ -135,10 +146,20 @@ def _fold(rows: DataFrame, body: str, start: Column) -> DataFrame:
                 last = "sha256:" + hashlib.sha256(f"{last}\n{text}".encode()).hexdigest()
                 after.append(last)
             yield pd.DataFrame({"seq": rows["seq"], "prev_hash": before, "hash": after})
-    return rows.select(F.col("seq").cast("bigint").alias("seq"), F.col(body).alias("_body"),
-                       start.alias("_begin")) \
-        .repartition(1).sortWithinPartitions("seq") \
-        .mapInPandas(fold, "seq bigint, prev_hash string, hash string")
+
+    folded = spark.createDataFrame([], links)
+    done = []
+    for step, in sorted(kept.select("_step").distinct().collect()):
+        mine = kept.filter(F.col("_step") == step).select(
+            F.col("seq").cast("bigint").alias("seq"), F.col(body).alias("_body"),
+            start.alias("_begin"))
+        done.append(f"{folder}/links/{step}")
+        folded = staged(mine.coalesce(1).sortWithinPartitions("seq").mapInPandas(fold, links),
+                        done[-1])
+        start = F.lit(folded.agg(F.max_by("hash", "seq")).first()[0])
+    if done:
+        folded = spark.read.schema(links).parquet(*done)
+    return kept.drop("_step").join(folded, "seq")
 
 
 def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str = "ord",
@@ -150,8 +171,8 @@ def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str
     Of the log only its last entry, its unfinished chunk and ``edge`` (``log_edge``, worked out
     from the log where it is not given) are read.
 
-    ``chunk=None`` continues an unbroken chain: the batch is folded by one task, since every
-    hash needs the one before; that task holds one batch of entries at a time. With
+    ``chunk=None`` continues an unbroken chain: the batch is folded one step of ``FOLD_STEP``
+    entries after another, since every hash needs the one before. With
     ``max_entries`` a batch that would pass the cap is refused with an error: no decision is
     left out.
     """
@@ -167,7 +188,7 @@ def append(log: DataFrame, batch: DataFrame, body_columns: list[str], order: str
     names = ["seq", "id", *body_columns]
     texted = with_id.withColumn("body", canonical(with_id, names))
     if chunk is None:
-        return texted.join(_fold(texted, "body", last_hash), "seq")
+        return _fold(texted, "body", last_hash)
     # The entries of the log's last chunk, if it is not full.
     opened = log.filter(_number("seq", chunk) == F.floor(last_seq / chunk)) \
         .select("seq", "body")

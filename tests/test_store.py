@@ -619,3 +619,21 @@ def test_many_notes_of_a_contact_are_joined_at_once(spark):
     assert {r["id"]: r["notes"] for r in moved.collect()} == {
         "1": f"old\n{lines}", "2": " old ", "3": f"{TODAY}: only"}
     assert "aggregate(" not in moved._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unbroken_chain_is_folded_in_steps(spark, monkeypatch):
+    """No task sorts more than a step; the last hash goes on to the next."""
+    monkeypatch.setattr(audit, "FOLD_STEP", 4)
+    log = spark.createDataFrame([(2, "", "x", "")], "seq long, prev_hash string, hash string, "
+                                "body string")
+    batch = spark.range(1, 12).select(F.col("id").alias("ord"), F.lit("a").alias("action_id"),
+                                      F.lit("t").alias("ts"))
+    new = audit.append(log, batch, ["action_id", "ts"], chunk=None)
+    last, rows = "x", new.orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(3, 14))
+    for r in rows:
+        assert r["prev_hash"] == last
+        last = "sha256:" + hashlib.sha256((last + "\n" + r["body"]).encode()).hexdigest()
+        assert r["hash"] == last
+    assert "MapInPandas" not in new._jdf.queryExecution().executedPlan().toString()
+    assert audit.append(log, batch.limit(0), ["action_id", "ts"], chunk=None).count() == 0
