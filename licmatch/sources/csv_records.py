@@ -97,7 +97,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     names = next(csv.reader([first.lstrip("﻿")]))
     columns = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     kept = found.filter((F.col("number") > 1) & (F.trim("record") != ""))
-    sizes = kept.groupBy("file").agg(F.max("number").alias("size"))
+    sizes = kept.groupBy("file").agg((F.max("number") - 1).alias("size"))  # without the header
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     offsets = sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0))
                            .alias("offset"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from licmatch import schema
 from licmatch.operators import audit, review
-from licmatch.plans.registry import split_bytes
+from licmatch.plans.fixtures import Tables
+from licmatch.plans.registry import QUERIES, split_bytes
 from licmatch.sources import csv_records, feeds, reports, searches, tables
 
 TODAY = "2026-08-14"
@@ -334,3 +335,47 @@ def test_legacy_store_with_line_breaks(spark, folder):
     rows = {r["id"]: (r["title"], r["notes"]) for r in
             tables.read_csv_store(spark, path).collect()}
     assert rows == {"1": ("C", 'x "y"'), "2": ("B", "")}
+
+
+def test_rows_of_several_csv_files_are_numbered_on(spark, folder):
+    os.makedirs(os.path.join(folder, "in"))
+    for name, text in (("1", "a\n1\n2\n"), ("2", "a\n"), ("3", "a\n3\n"), ("4", "a\n4\n5\n")):
+        write(folder, f"in/{name}.csv", text)
+    rows = csv_records.read_csv(spark, f"{folder}/in").collect()
+    assert {r["a"]: r["ord"] for r in rows} == {str(i + 1): i for i in range(5)}
+
+
+def _given(spark, folder):
+    """Customers, orders and parts for the queries that read the derived tables."""
+    for name, columns, n in (("customer", ["id AS c_custkey"], 30), ("part", [
+            "id AS p_partkey", "'steel' AS p_name"], 5), ("orders", [
+            "id AS o_orderkey", "id % 30 AS o_custkey"], 200)):
+        spark.range(n).selectExpr(*columns).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name, reader", [("s11_legacy_store", "read_csv_store"),
+                                          ("s1_register_file", "read_register")])
+def test_old_files_are_written_by_several_tasks(spark, folder, monkeypatch, name, reader):
+    from licmatch.plans import queries_scan
+    seen, read = [], getattr(tables, reader)
+
+    def counted(session, path, *rest):
+        seen.append(len([f for f in os.listdir(path) if f.endswith(".csv")]))
+        return read(session, path, *rest)
+    monkeypatch.setattr(queries_scan.tables, reader, counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = QUERIES[name](spark, _given(spark, folder)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    t = Tables(spark, folder)
+    if name == "s11_legacy_store":
+        want = {r["company"]: r["title"] for r in t.postings.orderBy("ord").collect()}
+        assert {r["id"]: r["title"] for r in found} == want
+    else:
+        towns = [r["town_city"] + ('\n"\nx' if r["ord"] % 7 == 0 else "")
+                 for r in t.register.orderBy("ord").collect()]
+        assert found[0]["rows"] == len(towns)
+        assert found[0]["ordered"] == sum(i * len(x) for i, x in enumerate(towns, 1))
+    assert seen[0] > 1
