@@ -59,16 +59,17 @@ def build(rows: DataFrame, text: str, order: list[str], folder: str | None = Non
     numbered = number_by_range(rows.filter(F.col(text).isNotNull()), order, "_n", start=0,
                                folder=f"{folder}/numbers") \
         .withColumn("_block", F.expr(f"_n div {block}"))
-    numbered.repartition("_block").sortWithinPartitions("_n").write \
-        .partitionBy("_block").parquet(f"{folder}/entries")
-    edged = numbered.select("_block", "_n", _edged(text).alias("_text"))
+    # The numbered rows lie in files by ranges of their number, so a block is in few of them.
+    numbered.sortWithinPartitions("_block", "_n").write.partitionBy("_block") \
+        .parquet(f"{folder}/entries")
+    # Texts are brought together by block, not their trigrams: those are made and folded there.
+    edged = numbered.select("_block", "_n", _edged(text).alias("_text")).repartition("_block")
     grams = edged.select("_block", "_n", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.char_length("_text") - (GRAM - 1)),
         lambda i: F.substring(F.col("_text"), i, F.lit(GRAM))))).alias("gram"))
     postings = grams.groupBy("gram", "_block").agg(
         F.array_sort(F.collect_list("_n")).alias("numbers"))
-    postings.repartitionByRange("gram", "_block").sortWithinPartitions("gram", "_block") \
-        .write.parquet(f"{folder}/grams")
+    postings.sortWithinPartitions("gram", "_block").write.parquet(f"{folder}/grams")
     return SearchIndex(spark, folder, text, rows.schema)
 
 

@@ -356,3 +356,17 @@ def test_contacts_fold_in_any_order(spark):
                 found = [tuple(x) for x in got[key][name]] if name == "routes" else got[key][name]
                 assert found == value, (key, name)
     assert {r["id"] for r in whole.collect()} == {r["id"] for r in folded.collect()}
+
+
+def test_index_keeps_a_block_in_one_task(spark):
+    """Texts are shuffled by block and their trigrams folded there, never shuffled."""
+    rows = spark.range(400).select(F.col("id").alias("v"), F.concat(
+        F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("t")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = search_index.build(rows, "t", ["t"], block=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = index.grams().select("_block", F.input_file_name().alias("file")).distinct()
+    assert files.count() == 4
+    assert search_index.containing(index, "text").count() == 400
