@@ -7,39 +7,55 @@ from licmatch.functions import gates
 from licmatch.functions.text import blank, normalize_name, strip
 from licmatch.operators import licence
 from licmatch.operators.frames import count_if, first_per_key
+from licmatch.sources.staging import staged
 
 TITLES_SHOWN = 3
 REVIEW_TIERS = ["1", "2", "3"]
 
 
-def company_stats(rows: DataFrame) -> DataFrame:
-    """Per company as spelled: rows, tech rows, review tiers, whether any row says 'no'."""
+def _facts(rows: DataFrame) -> DataFrame:
+    """Per row what the review needs: company as spelled, ord, tech, review tier, whether it says
+    'no', title."""
     name, tier = strip("company"), strip("tier")
-    facts = rows.select(
-        name.alias("company"), "ord", gates.is_tech_role().alias("tech"),
+    tech = gates.is_tech_role()
+    return rows.select(
+        name.alias("company"), "ord", tech.alias("tech"),
         F.when(tier.isin(*REVIEW_TIERS), tier).alias("tier"),
-        (gates.status_of("sponsor_match") == "no").alias("unmatched")) \
-        .filter(F.col("company") != "")
-    return facts.groupBy("company").agg(
+        (gates.status_of("sponsor_match") == "no").alias("unmatched"),
+        "title")
+
+
+def _stats(facts: DataFrame) -> DataFrame:
+    return facts.filter(F.col("company") != "").groupBy("company").agg(
         F.count(F.lit(1)).alias("rows"), count_if(F.col("tech")).alias("tech_rows"),
-        F.array_sort(F.collect_set("tier")).alias("tiers"),
+        F.array_compact(F.array(*[F.when(F.max(F.col("tier") == t), t) for t in REVIEW_TIERS]))
+        .alias("tiers"),
         F.min(F.when(F.col("unmatched"), F.col("ord"))).alias("first_no"))
 
 
-def tech_titles(rows: DataFrame) -> DataFrame:
+def company_stats(rows: DataFrame) -> DataFrame:
+    """Per company as spelled: rows, tech rows, review tiers, whether any row says 'no'."""
+    return _stats(_facts(rows))
+
+
+def _titles(facts: DataFrame) -> DataFrame:
     """The first tech titles of each company, in row order.
 
     At most three rows per company and task reach the shuffle, so narrowing to the companies
     under review first would only cost a second pass over them.
     """
-    named = rows.filter(gates.is_tech_role()) \
-        .select(strip("company").alias("company"), "title", "ord")
-    top = first_per_key(named, ["company"], ["ord"], TITLES_SHOWN)
+    top = first_per_key(facts.filter("tech").select("company", "title", "ord"), ["company"],
+                        ["ord"], TITLES_SHOWN)
     return top.groupBy("company").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))),
                     lambda t: t["title"]).alias("tech_titles"))
 
 
+def tech_titles(rows: DataFrame) -> DataFrame:
+    """The first tech titles of each company, in row order."""
+    return _titles(_facts(rows))
+
+
 def review_candidates(rows: DataFrame, lookup: DataFrame,
                       aliases: DataFrame | None = None,
                       rejections: DataFrame | None = None) -> DataFrame:
@@ -47,12 +63,15 @@ def review_candidates(rows: DataFrame, lookup: DataFrame,
 
     ``suggestions`` holds at most three (register_name, rating, why); of the top three,
     those already rejected for the company are left out. The rank columns order the queue by
-    what a decision is worth.
+    what a decision is worth. The few columns needed of ``rows`` are written down once
+    (``staging.staged``): counts and titles read them, and no rule runs twice over the rows.
     """
-    waiting = company_stats(rows).filter(F.col("first_no").isNotNull()) \
+    facts = staged(_facts(rows))
+    waiting = _stats(facts).filter(F.col("first_no").isNotNull()) \
         .filter(~gates.is_agency()).withColumn("key", normalize_name("company"))
     if aliases is not None:
         waiting = waiting.join(licence.alias_keys(aliases).select("key"), "key", "left_anti")
+    waiting = staged(waiting)  # a row per company; the suggestions ask for its keys too
     hits = licence.suggest(licence.open_keys(waiting, lookup), lookup)
     if rejections is not None:
         hits = licence.without_rejected(hits, rejections)
@@ -62,7 +81,7 @@ def review_candidates(rows: DataFrame, lookup: DataFrame,
             lambda s: F.struct(s["candidate"].alias("register_name"), s["rating"],
                                s["why"])).alias("suggestions"))
     found = waiting.join(grouped, "key")
-    titled = found.join(tech_titles(rows), "company", "left") \
+    titled = found.join(_titles(facts), "company", "left") \
         .withColumn("tech_titles",
                     F.coalesce("tech_titles", F.array().cast("array<string>")))
     return titled.select(

@@ -370,3 +370,17 @@ def test_index_keeps_a_block_in_one_task(spark):
     files = index.grams().select("_block", F.input_file_name().alias("file")).distinct()
     assert files.count() == 4
     assert search_index.containing(index, "text").count() == 400
+
+
+def test_review_rules_run_once_over_the_rows(spark):
+    """Counts, titles and suggestions read the same written facts."""
+    rows = spark.createDataFrame(
+        [(0, "Booth Welsh", "Data Engineer", "3", "no"), (1, "Booth Welsh", "Chef", "4", "yes"),
+         (2, "Booth Welsh ", "AI Engineer", "1", "no"), (3, None, "AI Engineer", "1", "no"),
+         (4, "Booth Welsh", "Data Engineer", "1", None)],
+        "ord int, company string, title string, tier string, sponsor_match string")
+    found = review.review_candidates(rows, lookup_of(spark, ENTRIES))
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    only, = found.collect()
+    assert (only["company"], only["rows"], only["tiers"], only["tech_rows"], only["tech_titles"]) \
+        == ("Booth Welsh", 4, ["1", "3"], 3, ["Data Engineer", "AI Engineer", "Data Engineer"])
