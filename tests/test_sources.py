@@ -379,3 +379,10 @@ def test_old_files_are_written_by_several_tasks(spark, folder, monkeypatch, name
         assert found[0]["rows"] == len(towns)
         assert found[0]["ordered"] == sum(i * len(x) for i, x in enumerate(towns, 1))
     assert seen[0] > 1
+
+
+def test_log_entries_judge_their_proposals_once(spark, folder):
+    from licmatch.plans import queries_decide  # noqa: F401
+    found = QUERIES["d1_log_entries"](spark, _given(spark, folder))
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.filter("jobs > 0 AND job_ids <> ''").count() > 0
