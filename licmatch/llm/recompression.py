@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from licmatch.llm import words as W
-from licmatch.llm.frames import public_id, stage, texts
+from licmatch.llm.frames import drop_staged, public_id, stage, texts
 
 WIDTH = 13
 _U = np.uint64
@@ -250,6 +250,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
               .where("lo < hi").select("anchor"))
     shared = stage(anchors.join(common, "anchor").groupBy("owner", "version")
                    .agg(F.collect_list("anchor").alias("shared")))
+    # From here on nothing reads the anchors of all texts.
+    every, table = table, stage(table.drop("anchors"))
+    drop_staged(every)
+    owners = table.groupBy("content", "version").agg(F.min("doc_id").alias("owner"))
 
     # The owners' texts that share an anchor.
     version = F.expr("cast(conv(substr(sha2(text, 256), 1, 16), 16, -10) as long)")
