@@ -31,6 +31,8 @@ _NONE = np.int64(2**62)
 _LATE = 2**62
 #: Words of more bytes are merged with a heap.
 LONG = 200
+#: Words of up to so many bytes are merged many at once, those of similar length together.
+WIDTHS = (8, 12, 16, 24, 40)
 #: Code points that newer Unicode tables call letters or numbers, but the
 #: vocabulary's pre-tokenizer does not.
 LATER_LETTERS = [
@@ -83,7 +85,6 @@ class Bpe:
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {as_bytes(s): i for s, i in spec["model"]["vocab"].items()}
-        self.longest = max(map(len, self.ids))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*self.ids.values(), *self.added.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
@@ -106,8 +107,14 @@ class Bpe:
         ranks = np.array([r for r, _ in self.merged.values()], dtype=np.int64)
         order = np.argsort(codes)
         self.size, self.codes, self.ranks = size, codes[order], ranks[order]
+        self.made = np.full(len(pairs), -1, dtype=np.int64)
+        for rank, whole in self.merged.values():
+            self.made[rank] = whole
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int64)
         # A token can be proposed only if merging its bytes alone gives it.
         self.whole = {b: i for b, i in self.ids.items() if self.merge(b) == [i]}
+        # Every beginning of such a token, with the token that it is itself or -1.
+        self.begun = {b[:k]: -1 for b in self.whole for k in range(1, len(b))} | self.whole
         added = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.split_added = regex.compile(f"({added})").split if added else lambda t: [t]
         self.pretokens = pattern().findall
@@ -159,16 +166,68 @@ class Bpe:
                         heapq.heappush(heap, (rank, left, new, *pair))
         return [p for p in parts if p >= 0]
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of each word; short words go through their merges side by side."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        least = 0
+        for width in WIDTHS:
+            some = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            if len(some):
+                parts = self._merge_rows([words[k] for k in some.tolist()], sizes[some], width)
+                for k, row in zip(some.tolist(), parts.tolist()):
+                    out[k] = [p for p in row if p >= 0]
+        for k in np.flatnonzero(sizes > least).tolist():
+            out[k] = self.merge(words[k])
+        return out
+
+    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, width: int) -> np.ndarray:
+        """A row of tokens per word, filled up with -1.
+
+        In each step every word takes its earliest rule that applies, leftmost first.
+        """
+        at = np.arange(width + 1)
+        parts = np.full((len(words), width + 1), -1, dtype=np.int64)
+        parts[at < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        rules = np.full((len(words), width + 1), _NONE)
+        rules[:, :-1] = self.rank_of(parts[:, :-1], parts[:, 1:])
+        rules[parts < 0] = _NONE
+        rules[:, :-1][parts[:, 1:] < 0] = _NONE
+        todo = np.arange(len(words))
+        while True:
+            k = rules[todo].argmin(axis=1)
+            rule = rules[todo, k]
+            goes = rule < _NONE
+            todo, k, rule = todo[goes], k[goes], rule[goes]
+            if not len(todo):
+                return parts
+            row, rank = parts[todo], rules[todo]
+            # The last column is always free, so it fills up the row.
+            row = np.take_along_axis(row, np.minimum(at + (at > k[:, None]), width), axis=1)
+            rank = np.take_along_axis(rank, np.minimum(at + (at >= k[:, None]), width), axis=1)
+            here = np.arange(len(todo))
+            row[here, k] = self.made[rule]
+            after = row[here, k + 1]
+            rank[here, k] = np.where(after >= 0, self.rank_of(row[here, k], after), _NONE)
+            left = np.flatnonzero(k)
+            before = k[left] - 1
+            rank[left, before] = self.rank_of(row[left, before], row[left, k[left]])
+            parts[todo], rules[todo] = row, rank
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at = [], 0
-        while at < len(word):
-            for end in range(min(len(word), at + self.longest), at, -1):
-                token = self.whole.get(word[at:end])
-                if token is not None:
-                    out.append(token)
-                    at = end
-                    break
+        out, at, size, begun = [], 0, len(word), self.begun.get
+        while at < size:
+            end = to = at + 1
+            token = found = begun(word[at:end])
+            while found is not None and end < size:
+                end += 1
+                found = begun(word[at:end])
+                if found is not None and found >= 0:
+                    token, to = found, end
+            out.append(token)
+            at = to
         return out
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,11 +275,22 @@ class Bpe:
         cut[ends[:-1] - 1] = False
         at = np.flatnonzero(cut)
         wrong = at[~self.compatible(flat[at], flat[at + 1])]
-        for k in set(np.searchsorted(ends, wrong, side="right").tolist()):
-            guesses[k] = self.merge(words[k])
+        wrong = np.unique(np.searchsorted(ends, wrong, side="right")).tolist()
+        for k, tokens in zip(wrong, self.merge_many([words[k] for k in wrong])):
+            guesses[k] = tokens
         for text, tokens in zip(new, guesses):
             self.known[text] = np.array(tokens, dtype="<u4").tobytes()
 
+    def _words(self, words: list[str]) -> list[list[str]]:
+        """Pre-tokens of each word with a space before it.
+
+        Words have no spaces and do not begin with white space, so that in a row of them the
+        pre-tokens that begin with a space are the beginnings of words.
+        """
+        flat = self.pretokens(" " + " ".join(words)) if words else []
+        first = [k for k, token in enumerate(flat) if token[0] == " "]
+        return [flat[a:b] for a, b in zip(first, first[1:] + [len(flat)])]
+
     def _tokens_of(self, pieces: list[list[str]]) -> list[bytes]:
         """Ids of the pieces, each given as its pre-tokens."""
         fresh = {w for words in pieces for w in words if w not in self.known}
@@ -254,7 +324,10 @@ class Bpe:
                     fresh.update(pieces[1:])
             plan.append(None)
         fresh = [w for w in fresh if w not in words]
-        words.update(zip(fresh, self._tokens_of([self.pretokens(" " + w) for w in fresh])))
+        if "" in fresh:
+            fresh.remove("")
+            words[""] = self._tokens_of([[" "]])[0]
+        words.update(zip(fresh, self._tokens_of(self._words(fresh))))
         heads = iter(self._tokens_of(whole))
         out, row = [], []
         for step in plan:

@@ -70,3 +70,23 @@ def test_rows(frame, reference, prose):
     back = bpe.decode(bpe.encode(frame(rows), ["doc_id"])).collect()
     assert sorted(r.text for r in back) == sorted(t or "" for _, t in rows)
     assert bpe.encode(frame([]), ["doc_id"]).count() == 0
+
+
+def test_many_words_merged_at_once_equal_plain_merging(monkeypatch):
+    own, r = bpe.load(bpe.default_path()), random.Random(8)
+    words = [bytes(r.choices(b" aabcdeest\xc3\xa9", k=r.randint(1, 60))) for _ in range(600)]
+    words += [b"a" * k for k in range(1, 45)] + [t for t in own.bytes[:600] if t]
+    plain = [own.merge(w) for w in words]
+    calls = []
+    monkeypatch.setattr(own, "merge", lambda w, one=own.merge: calls.append(w) or one(w))
+    assert own.merge_many(words) == plain and own.merge_many([]) == []
+    assert all(len(w) > bpe.WIDTHS[-1] for w in calls)
+
+
+def test_words_cut_together_equal_words_cut_alone():
+    own, r = bpe.load(bpe.default_path()), random.Random(9)
+    bits = ["a", "é", "'ll", "'", "\n", "\u0085", "\x1c", "　", "1", "!", "中", "x\n", "_", "²"]
+    words = [w for _ in range(3000) if not (w := "".join(r.choices(bits, k=r.randint(1, 6))))[0]
+             .isspace()]
+    alone = [own.pretokens(" " + w) for w in words]
+    assert own._words(words) == alone and own._words([]) == []
