@@ -99,3 +99,54 @@ def test_keep_one_keeps_texts_that_share_or_lack_an_id(frame, prose):
     order = lambda r: (r[0] or -1, r[1] or "", r[1] is None)
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=order) == \
         sorted(want, key=order)
+
+
+def brute_links(rows, n=5, percent=75):
+    """Per row the number of other rows it links with, over all pairs."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words
+                    else set())
+    return sorted((-1 if d is None else d, sum(
+        i != j and bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+        for j, b in enumerate(sets))) for i, ((d, _), a) in enumerate(zip(rows, sets)))
+
+
+def links(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_links) for r in df.collect())
+
+
+def test_number_of_links_equals_all_pairs(frame, prose, monkeypatch):
+    """Links inside a component count too, over blocks of it; copies count as often as they come."""
+    monkeypatch.setattr(ngram_join, "TREE_SETS", 16)
+    texts = near_copies(prose, 7, 60, 60, 4) + near_copies(prose, 8, 40, 200, 9)
+    texts += [prose(k, 60) for k in range(30)] + texts[:25] + [" ".join(texts[0].split()[:52])]
+    rows = list(enumerate(texts)) + [(3, prose(50, 40)), (3, prose(50, 40) + " end"), (None, None)]
+    rows += [(None, texts[0]), (900, "one"), (901, "one"), (902, ""), (903, "")]
+    random.Random(6).shuffle(rows)
+    want = brute_links(rows)
+    assert len({x for _, x in want}) > 15
+    assert links(ngram_join.ngram_join(frame(rows))) == want
+    assert links(ngram_join.ngram_join(frame(ODD_ROWS))) == brute_links(ODD_ROWS)
+
+
+def test_texts_of_mostly_common_grams(frame, prose):
+    """Passages that many texts share fill the first grams of texts that link with none."""
+    r, passages = random.Random(9), [prose(700 + k, 40) for k in range(6)]
+    texts = [" ".join(r.sample(passages, 3)) + " " + prose(800 + k, 5 + k) for k in range(60)]
+    texts += [" ".join(t.split()[:-3]) for t in texts[::4]] + [t + " " + t for t in texts[::9]]
+    rows = list(enumerate(texts))
+    got = ngram_join.ngram_join(frame(rows))
+    assert result(got) == brute(rows) and links(got) == brute_links(rows)
+
+
+def test_texts_that_cannot_link_are_not_compared(frame, prose, monkeypatch):
+    passage = prose(1, 30)
+    rows = [(k, prose(100 + k, 90) + " " + passage) for k in range(40)]
+    rows += [(50, prose(2, 80)), (51, prose(2, 80) + " end")]
+    nodes, of = [], ngram_join.meeting_grams
+    monkeypatch.setattr(ngram_join, "meeting_grams", lambda sets, percent: nodes.extend(
+        x.node for x in sets.select("node").collect()) or of(sets, percent))
+    assert links(ngram_join.ngram_join(frame(rows))) == brute_links(rows)
+    assert sorted(nodes) == [50, 51]
