@@ -150,3 +150,21 @@ def test_texts_that_cannot_link_are_not_compared(frame, prose, monkeypatch):
         x.node for x in sets.select("node").collect()) or of(sets, percent))
     assert links(ngram_join.ngram_join(frame(rows))) == brute_links(rows)
     assert sorted(nodes) == [50, 51]
+
+
+def test_pairs_that_meet_too_late_are_not_compared(frame, prose, monkeypatch):
+    """A family whose members are far from each other: its pairs meet, and few are compared."""
+    words, r = prose(5, 100).split(), random.Random(3)
+    drawn = [sorted(r.sample(range(0, 100, 5), 4)) for _ in range(40)]
+    # Changed words are the same in several texts, so hardly a gram is one text's own.
+    texts = [" ".join(f"y{i}" if i in at else w for i, w in enumerate(words)) for at in drawn]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    kept, of = [], ngram_join.meeting_early
+    monkeypatch.setattr(ngram_join, "meeting_early", lambda met, percent: (
+        kept.append((met.toDF("gram", "a", "n", "m", "at", "of_a").join(
+            met.toDF("gram", "b", "n", "m", "at", "of_b"), "gram").where("a < b and of_a <> of_b")
+            .select("a", "b").distinct().count(), of(met, percent).count())), of(met, percent))[1])
+    got = ngram_join.ngram_join(frame(rows))
+    assert result(got) == brute(rows) and links(got) == brute_links(rows)
+    met, compared = kept[0]
+    assert 3 * compared <= 2 * met and met > 200
